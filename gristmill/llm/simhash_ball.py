@@ -199,6 +199,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays, that with the smallest id; columns as they are. Repeated rows of one id stay together."""
-    gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gm_id")).distinct()
-    return docs.join(cut(gone, "ball-gone"), docs[id_col] == F.col("_gm_id"), "left_anti")
+    """One document of each group stays, that with the smallest id; columns as they are.
+
+    An id goes if none of its rows is the one that stays, so repeated rows of one id stay or go together. Rows without
+    an id stay.
+    """
+    found = near_groups(docs, id_col, text_col).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gm_id")), "ball-gone")
+    return docs.join(gone, docs[id_col] == F.col("_gm_id"), "left_anti")

@@ -141,7 +141,7 @@ def _write_batches(batches, folder: str, vocabulary: str, end_id: int, file_toke
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
             if out is None:
                 temp = f"{root}/_{uuid.uuid4().hex}"
-                out = fs.open_output_stream(temp)
+                out = fs.open_output_stream(temp, compression=None)
                 writer = FrameWriter(out)
             writer.add(doc_id, np.concatenate((tok.ids(text.as_py()), end)))
             if writer.total >= file_tokens:

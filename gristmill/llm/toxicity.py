@@ -38,13 +38,27 @@ _TABLE = _letters()
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all texts, with SPAN + WIDTH zeros after each, and each text's start."""
+    x, starts, places = _encoded(texts)
+    return x, places[starts]
+
+
+def _encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes, each text's start before, and for each position before its place in the codes.
+
+    A sign or space between two letters that stand alone is left out: s.p.e.l.l.e.d words are words.
+    """
     gap, parts, starts, at = bytes(SPAN + WIDTH), [], [], 0
     for t in texts:
         data = (t or "").lower().encode("latin-1", "replace")
         starts.append(at)
         at += len(data) + len(gap)
         parts += (data, gap)
-    return _TABLE[np.frombuffer(b"".join(parts), np.uint8)], np.array(starts, np.int64)
+    x = _TABLE[np.frombuffer(b"".join(parts), np.uint8)]
+    letter = np.concatenate(([False, False], x > 0, [False, False]))
+    alone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
+    keep = ~(~letter[2:-2] & alone[:-2] & alone[2:])
+    places = np.cumsum(keep) - keep
+    return x[keep], np.array(starts, np.int64), places
 
 
 def _codes(x: np.ndarray, a: int, b: int, c: int) -> np.ndarray:
@@ -194,18 +208,18 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, rounds: int =
         return _packed(np.zeros(N_CODES, np.float32), 0.0, -3.0)
     train, ty = [texts[k] for k in learn], y[learn]
     marks = _markers(train, ty)
-    x, starts = encode(train)
+    x, starts, places = _encoded(train)
     found, clean = [], []
     for k, t in enumerate(train):
         low = t.lower()
         if ty[k]:
             hits = [(-marks[w], m.start()) for m in re.finditer(r"[^\W\d_]{4,}", low) if (w := m[0]) in marks]
             if hits:
-                found.append(_window(x, starts[k] + min(hits)[1] - 2))
+                found.append(_window(x, places[starts[k] + min(hits)[1]] - 2))
         elif t:
-            clean += [_window(x, starts[k] + int(p)) for p in rng.integers(0, len(t), 1)]
+            clean += [_window(x, places[starts[k] + int(p)]) for p in rng.integers(0, len(t), 1)]
     if not found:  # no word stands out: begin with random windows of toxic texts
-        found = [_window(x, starts[k] + int(p)) for k, t in enumerate(train) if ty[k] and t for p in rng.integers(0, len(t), 3)]
+        found = [_window(x, places[starts[k] + int(p)]) for k, t in enumerate(train) if ty[k] and t for p in rng.integers(0, len(t), 3)]
     if not found or not clean:
         return _packed(np.zeros(N_CODES, np.float32), 0.0, -3.0)
     rare, weights = rarity(encode([t for t, label in zip(train, ty) if not label])[0]), np.zeros(N_CODES, np.float32)
@@ -273,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     chosen = parts[0].unionByName(parts[1])
     bounded_batches(docs.sparkSession)
     texts = docs.join(F.broadcast(chosen), docs[id_col].cast("long") == F.col("_gm_id")).select(F.col(text_col).alias("text"), F.when(F.col("_gm_label") > 0, 1).otherwise(0).alias("label"))
-    return bytes(texts.repartition(1).mapInArrow(partial(_fit_batches, landmarks=landmarks), "model binary").first()["model"])
+    found = texts.repartition(1).mapInArrow(partial(_fit_batches, landmarks=landmarks), "model binary").first()
+    return bytes(found["model"]) if found else fit([], [])
 
 
 def toxicity_scores(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
