@@ -171,7 +171,7 @@ def links(fps: DataFrame, bucket_pairs: int = 1 << 20) -> DataFrame:
 
     def spread(rows: DataFrame, each: int) -> tuple[DataFrame, int]:
         n = rows.count()
-        return rows, max(8 * tasks, -(-n * each // bucket_pairs))
+        return rows, max(256, -(-n * each // bucket_pairs))
 
     fps, buckets = spread(fps, 196)
     met = _shuffled(fps.mapInArrow(partial(_sieve_emit, buckets=buckets), "bucket int, pairs binary"), buckets, max(tasks, buckets // 8))
