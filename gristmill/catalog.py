@@ -1,9 +1,294 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.text import PII, WS, mask_secrets, normalised_tokens, redact, redaction_counts, split_words, strip
+from .operators import analysis, dedup, records, rules
+from .plans.curate import CurateConfig, curate, rejection_counts
+
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+_STRIP = f"regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g')"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> '')"
+_FIRST = f"SELECT *, row_number() OVER (PARTITION BY {_STRIP} ORDER BY doc_id) AS rn FROM documents"
+_TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9_'']+'), lambda x: x <> '')"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'raw' AS fmt, '' AS prompt, coalesce(text, '') AS response FROM documents")
+def record_projection(spark, sf_dir):
+    return records.to_records(table(spark, sf_dir, "documents"), "doc_id").select("id", "fmt", "prompt", "response")
+
+
+_CHAT = """SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role IN ('user', 'human')), '') AS prompt,
+    coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role IN ('assistant', 'gpt', 'model')), '') AS response FROM conversations GROUP BY conv_id"""
+
+
+@query(_CHAT)
+def chat_prompt_response(spark, sf_dir):
+    chats = records.assemble_chats(table(spark, sf_dir, "conversations"))
+    return records.to_records(chats, "conv_id").select("conv_id", "prompt", "response")
+
+
+@query(f"SELECT count(*) AS chats, count(*) FILTER (prompt <> '' AND response <> '') AS both_sides FROM ({_CHAT})")
+def sharegpt_export(spark, sf_dir):
+    chats = records.assemble_chats(table(spark, sf_dir, "conversations"))
+    return chats.agg(F.count("*").alias("chats")).crossJoin(records.sharegpt(chats).agg(F.count("*").alias("both_sides")))
+
+
+@query("SELECT doc_id, coalesce(text, '') <> '' AS valid FROM documents")
+def validate_documents(spark, sf_dir):
+    rows = records.to_records(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select("doc_id", (F.size(records.validation_errors("raw")) == 0).alias("valid"))
+
+
+_GRAMS = "CASE WHEN len(w) > 30 THEN 1.0 - len(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: [w[i], w[i + 1], w[i + 2]]))) / (len(w) - 2) END"
+_BAD = ", ".join(f"CASE WHEN contains(t, '{b}') THEN 'Contains corrupted token/placeholder: {b}' END" for b in rules.BAD)
+_ISSUES = f"""SELECT doc_id, list_filter([CASE WHEN length(s) < 4 THEN 'Prompt too short (< 4 chars)' END,
+    CASE WHEN length(t) > 15000 THEN 'Prompt exceeds max length (' || length(t) || ' > 15000)' END,
+    CASE WHEN length(s) < 5 THEN 'Response too short (< 5 chars)' END,
+    CASE WHEN length(t) > 50000 THEN 'Response exceeds max length (' || length(t) || ' > 50000)' END, {_BAD},
+    CASE WHEN r > 0.35 THEN 'Degenerate repetition loop detected (repeat ratio: ' || printf('%.2f', r) || ')' END], lambda x: x IS NOT NULL) AS issues
+    FROM (SELECT doc_id, t, s, {_GRAMS} AS r FROM (SELECT doc_id, coalesce(text, '') AS t, {_STRIP} AS s, {_WORDS} AS w FROM documents))"""
+
+
+def issues(spark, sf_dir) -> DataFrame:
+    return rules.rule_issues(records.to_records(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query(f"SELECT doc_id, array_to_string(issues, '; ') AS issues FROM ({_ISSUES})")
+def rule_filter_issues(spark, sf_dir):
+    return issues(spark, sf_dir).select("doc_id", F.array_join("issues", "; ").alias("issues"))
+
+
+_SCORED = f"SELECT doc_id, issues, CASE WHEN len(issues) = 0 THEN 8.0 ELSE 2.0 END::DOUBLE AS o FROM ({_ISSUES})"
+
+
+@query(f"SELECT count(*) AS total_items, count(o) AS scored_items, round(avg(o), 6) AS mean_score, median(o) AS median_score, min(o) AS min_score, max(o) AS max_score, round(stddev_pop(o), 6) AS std_score FROM ({_SCORED})")
+def score_stats(spark, sf_dir):
+    return rules.score_stats(rules.rule_scores(issues(spark, sf_dir)))
+
+
+@query(f"SELECT issue, n FROM (SELECT issue, count(*) AS n, min((doc_id, k)) AS first FROM (SELECT doc_id, unnest(issues) AS issue, generate_subscripts(issues, 1) AS k FROM ({_ISSUES})) GROUP BY issue ORDER BY n DESC, first LIMIT 8)")
+def top_issues(spark, sf_dir):
+    return rules.top_issues(issues(spark, sf_dir), "doc_id")
+
+
+_PLAIN = {k: v.replace("(?iuU)", "(?i)").replace("(?U)", "") for k, v in PII.items()}
+
+
+def _redact_sql(names) -> str:
+    out = "coalesce(text, '')"
+    for n in names:
+        out = f"regexp_replace({out}, '{_PLAIN[n]}', '<{n}>', 'g')"
+    return out
+
+
+_NO_PHONE = [n for n in PII if n != "PHONE_NUMBER"]
+
+
+@query(f"SELECT doc_id, md5({_redact_sql(_NO_PHONE)}) AS text_md5 FROM documents")
+def pii_without_phone(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact(F.coalesce("text", F.lit("")), _NO_PHONE)).alias("text_md5"))
+
+
+@query()
+def pii_sequential(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    counts = [v.alias(f"n_{k.lower()}") for k, v in redaction_counts(text).items()]
+    return table(spark, sf_dir, "documents").select("doc_id", redact(text).alias("text"), *counts)
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_PLAIN['EMAIL_ADDRESS']}')) AS emails, len(regexp_extract_all(text, '{_PLAIN['IP_ADDRESS']}')) AS ips FROM documents")
+def pii_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.regexp_count("text", F.lit(PII[n])).cast("long").alias(a) for n, a in (("EMAIL_ADDRESS", "emails"), ("IP_ADDRESS", "ips"))))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\\s+)[^\\s"''<>]+', '\\1[REDACTED]', 'g'), '(?:sk-(?:ant-|proj-)?|ctx7sk-|hf_|AIza)[A-Za-z0-9_\\-]{8,}', '[REDACTED]', 'g'), 'eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+', '[REDACTED]', 'g'), '(?i)([?&](?:token|key|api_key|access_token|signature)=)[^&\\s]+', '\\1[REDACTED]', 'g')) AS text_md5 FROM documents""")
+def secret_mask(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(mask_secrets(F.col("text"))).alias("text_md5"))
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
+def token_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalised_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, rn = 1 AS keep FROM ({_FIRST})")
+def exact_dedup_keep(spark, sf_dir):
+    return dedup.exact_keep(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "keep")
+
+
+@query(f"SELECT source, lang, count(*) AS kept FROM ({_FIRST}) WHERE rn = 1 AND coalesce(text, '') <> '' GROUP BY ALL")
+def curate_by_source(spark, sf_dir):
+    rows = curate(table(spark, sf_dir, "documents"), "doc_id", CurateConfig(min_score=0.0))
+    return rows.where("stage is null").groupBy("source", "lang").agg(F.count("*").alias("kept"))
+
+
+_PAIRS = f"""w AS MATERIALIZED (SELECT doc_id AS rn, list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '') AS ws FROM documents),
+    s AS MATERIALIZED (SELECT rn, list_distinct(CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS sh FROM w),
+    e AS MATERIALIZED (SELECT rn, len(sh) AS n, unnest(sh) AS h FROM s),
+    p AS MATERIALIZED (SELECT a.rn AS i, b.rn AS j FROM e a JOIN e b ON a.h = b.h AND a.rn < b.rn GROUP BY a.rn, b.rn, a.n, b.n HAVING count(*) * 1.0 / (a.n + b.n - count(*)) >= 0.85)"""
+_GREEDY = """nb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w.rn) AS k, w.rn, coalesce(list(p.i) FILTER (p.i IS NOT NULL), []) AS l FROM w LEFT JOIN p ON p.j = w.rn GROUP BY w.rn),
+    g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN list_has_any(g.kept, nb.l) THEN g.kept ELSE list_append(g.kept, nb.rn) END FROM g JOIN nb ON nb.k = g.k + 1)"""
+_KEPT = "SELECT unnest(kept) AS {id} FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)"
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, {_GREEDY} {_KEPT.format(id='doc_id')}")
+def near_dedup_keep(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pairs = dedup.jaccard_pairs(dedup.shingle_sets(docs, "doc_id", "text"), 0.85)
+    return dedup.greedy_keep(docs.select(F.col("doc_id").alias("ord")), pairs).where("keep").select(F.col("ord").alias("doc_id"))
+
+
+_COS = """w AS MATERIALIZED (SELECT vec_id AS rn, embedding::DOUBLE[] AS v FROM embeddings),
+    p AS MATERIALIZED (SELECT a.rn AS i, b.rn AS j FROM w a JOIN w b ON a.rn < b.rn WHERE list_cosine_similarity(a.v, b.v) >= 0.9)"""
+
+
+@query(f"WITH RECURSIVE {_COS}, {_GREEDY} {_KEPT.format(id='vec_id')}")
+def semantic_dedup_keep(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    pairs = dedup.cosine_pairs(vectors, "vec_id", "embedding", 0.9)
+    return dedup.greedy_keep(vectors.select(F.col("vec_id").alias("ord")), pairs).where("keep").select(F.col("ord").alias("vec_id"))
+
+
+@query(f"SELECT 'dedup: exact_duplicate' AS reason, count(*) AS n FROM ({_FIRST}) WHERE rn > 1 HAVING count(*) > 0 UNION ALL SELECT 'filter: quality score 2.00 below 6.00', count(*) FROM ({_FIRST}) f JOIN ({_ISSUES}) i USING (doc_id) WHERE rn = 1 AND len(issues) > 0 HAVING count(*) > 0")
+def rejection_reasons(spark, sf_dir):
+    return rejection_counts(curate(table(spark, sf_dir, "documents"), "doc_id", CurateConfig(redact_pii=False)))
+
+
+@query()
+def curate_near(spark, sf_dir):
+    return curate(table(spark, sf_dir, "documents"), "doc_id", CurateConfig("near")).select("doc_id", "content", "overall_score", "stage", "reason")
+
+
+@query("SELECT toxic AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM labels GROUP BY toxic")
+def class_distribution(spark, sf_dir):
+    return analysis.class_distribution(table(spark, sf_dir, "labels"), "toxic")
+
+
+@query("SELECT count(*) AS rows, count(quality) AS labelled, string_agg(DISTINCT quality::VARCHAR, ',' ORDER BY quality::VARCHAR) AS classes, CASE WHEN count(DISTINCT quality) = 2 THEN 'binary' WHEN count(DISTINCT quality) > 2 THEN 'multi-class' ELSE 'none' END AS task_type, CASE WHEN count(DISTINCT quality) >= 2 THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence FROM documents LEFT JOIN labels USING (doc_id)")
+def profile_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return analysis.profile(docs, "quality")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r IN (SELECT round_even(k * ((SELECT count(*) FROM documents) - 1) / 4.0, 0) FROM range(5) t(k))")
+def representative_sample(spark, sf_dir):
+    return analysis.representative_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5)
+
+
+@query("SELECT doc_id, ((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 4)::INT AS shard FROM labels")
+def stratified_shard(spark, sf_dir):
+    return analysis.stratified_shard(table(spark, sf_dir, "labels"), "quality", "doc_id", 4).select("doc_id", "shard")
+
+
+@query("SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM labels) WHERE k <= 20")
+def stratified_cap(spark, sf_dir):
+    return analysis.stratified_cap(table(spark, sf_dir, "labels"), "toxic", "doc_id", 20).select("doc_id", "toxic")
+
+
+@query("""WITH g AS (SELECT text, count(*) AS n, count(DISTINCT quality) AS l FROM documents JOIN labels USING (doc_id) GROUP BY text)
+    SELECT count(*) FILTER (n > 1) AS duplicate_groups, coalesce(sum(n - 1) FILTER (n > 1), 0)::BIGINT AS duplicate_rows, count(*) FILTER (l > 1) AS conflict_groups, coalesce(sum(n) FILTER (l > 1), 0)::BIGINT AS conflict_rows, coalesce(sum(n) FILTER (trim(text) = ''), 0)::BIGINT AS empty_rows FROM g""")
+def hygiene_summary(spark, sf_dir):
+    return analysis.hygiene(labelled(spark, sf_dir), "text", "quality")
+
+
+@query("SELECT text_md5, n FROM (SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY text) WHERE n > 1")
+def duplicate_inventory(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+    return counts.where("n > 1")
+
+
+_AFTER = f"SELECT doc_id, {_redact_sql(['EMAIL_ADDRESS'])} AS text, source FROM ({_FIRST}) WHERE rn = 1"
+
+
+@query(f"SELECT count(*) AS matched, count(*) FILTER (a.text IS DISTINCT FROM b.text) AS changed_text, count(*) FILTER (a.source IS DISTINCT FROM b.source) AS changed_source FROM documents a JOIN ({_AFTER}) b USING (doc_id)")
+def compare_before_after(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    after = dedup.exact_keep(docs, "doc_id", "text").where("keep").withColumn("text", redact(F.col("text"), ["EMAIL_ADDRESS"]))
+    return analysis.compare(docs, after, "doc_id", ["text", "source"])
+
+
+@query("SELECT side, count(*) AS n FROM (SELECT 'removed' AS side, * FROM (SELECT source, lang FROM documents EXCEPT ALL SELECT source, lang FROM documents JOIN labels USING (doc_id)) UNION ALL SELECT 'added', * FROM (SELECT source, lang FROM documents JOIN labels USING (doc_id) EXCEPT ALL SELECT source, lang FROM documents)) GROUP BY side")
+def multiset_difference(spark, sf_dir):
+    cols = ("source", "lang")
+    return analysis.multiset_difference(table(spark, sf_dir, "documents").select(*cols), labelled(spark, sf_dir).select(*cols)).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 100")
+def vocabulary_topn(spark, sf_dir):
+    return analysis.vocabulary(table(spark, sf_dir, "documents"), "text", 100)
+
+
+@query(f"WITH c AS (SELECT toxic AS label, token, count(*) AS n FROM (SELECT toxic, unnest({_TOKENS}) AS token FROM documents JOIN labels USING (doc_id)) GROUP BY ALL) SELECT label, token, n, (sum(n) OVER (PARTITION BY label))::BIGINT AS total FROM c")
+def nb_train(spark, sf_dir):
+    return analysis.naive_bayes(labelled(spark, sf_dir), "text", "toxic")
+
+
+@query(f"SELECT prev, next, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p, p.a AS prev, p.b AS next FROM (SELECT {_WORDS} AS w FROM benchmark)) GROUP BY ALL")
+def bigram_counts(spark, sf_dir):
+    return analysis.bigram_counts(table(spark, sf_dir, "benchmark"), split_words(F.coalesce("text", F.lit(""))))
+
+
+@query("SELECT event_type AS provider, count(*) AS runs, round(sum(value), 4) AS amount FROM events GROUP BY event_type")
+def usage_summary(spark, sf_dir):
+    return analysis.usage_summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts DESC, event_id LIMIT 50")
+def audit_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where((F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp")))
+    return rows.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT doc_id, ((doc_id) % 4)::INT AS strategy, (doc_id // 20) AS batch FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM documents)")
+def strategy_and_batch(spark, sf_dir):
+    rn = F.row_number().over(Window.orderBy("doc_id")) - 1
+    return table(spark, sf_dir, "documents").select(rn.cast("long").alias("doc_id")).select("doc_id", (F.col("doc_id") % 4).cast("int").alias("strategy"), F.floor(F.col("doc_id") / 20).alias("batch"))
+
+
+@query("WITH RECURSIVE d(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.c, d.depth + 1 FROM d JOIN (SELECT n_regionkey::BIGINT AS p, (100 + n_nationkey)::BIGINT AS c FROM nation) e ON e.p = d.node) SELECT node, min(depth) AS depth FROM d GROUP BY node")
+def lineage_recursive(spark, sf_dir):
+    edges = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("parent"), (F.col("n_nationkey") + 100).cast("long").alias("child"))
+    return analysis.lineage(spark, edges, 1)
+
+
+@query()
+def html_to_text(spark, sf_dir):
+    return analysis.html_text(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@query(f"SELECT doc_id, length({_STRIP}) AS n FROM documents")
+def python_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(strip(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

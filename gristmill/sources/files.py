@@ -1,0 +1,89 @@
+"""Datasets in files: one reader and one writer for all containers."""
+
+from __future__ import annotations
+
+import gzip
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Suffixes and the container they stand for.
+SUFFIXES = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "yaml": "yaml", "yml": "yaml", "parquet": "parquet", "pq": "parquet", "arrow": "arrow", "feather": "arrow", "ipc": "arrow", "csv": "csv", "tsv": "tsv", "txt": "txt"}
+
+
+def path_format(path: str) -> str:
+    name = path.lower().rstrip("/").removesuffix(".gz")
+    kind = SUFFIXES.get(name.rpartition(".")[2])
+    if kind is None:
+        raise ValueError(f"Unsupported dataset format: {path}")
+    return kind
+
+
+def container_rows(data) -> list[dict]:
+    """The records in a JSON or YAML document: a list, a wrapper, splits, columns or one object."""
+    if isinstance(data, list):
+        rows = data
+    elif not isinstance(data, dict):
+        raise ValueError("a dataset document must be a list or an object")
+    elif wrapped := next((data[k] for k in ("data", "records", "items") if isinstance(data.get(k), list)), None):
+        rows = wrapped
+    elif data and all(isinstance(v, list) for v in data.values()):
+        if all(isinstance(x, dict) for v in data.values() for x in v):
+            rows = [x | {"split": k} for k, v in data.items() for x in v]
+        else:
+            rows = [dict(zip(data, vs)) for vs in zip(*data.values())]
+    else:
+        rows = [data]
+    if not all(isinstance(x, dict) for x in rows):
+        raise ValueError("every record must be an object")
+    return rows
+
+
+def read_dataset(spark: SparkSession, path: str, max_rows: int | None = None, fmt: str | None = None) -> DataFrame:
+    """The records of a file or folder; any path that Spark reads, but for yaml, arrow and json documents, which the driver reads."""
+    kind = fmt or path_format(path)
+    if kind == "parquet":
+        df = spark.read.parquet(path)
+    elif kind in ("csv", "tsv"):
+        df = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if kind == "tsv" else ",")
+    elif kind == "txt":
+        df = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("text")).where("text <> ''")
+    elif kind == "jsonl":
+        df = spark.read.option("mode", "FAILFAST").json(path)
+    elif kind == "arrow":
+        import pyarrow.feather as feather
+
+        df = spark.createDataFrame(feather.read_table(path))
+    else:
+        text = (gzip.open if path.endswith(".gz") else open)(path, "rt", encoding="utf-8").read()
+        if kind == "yaml":
+            import yaml
+
+            data = yaml.safe_load(text)
+        else:
+            data = json.loads(text)
+        lines = [json.dumps(x) for x in container_rows(data)]
+        df = spark.read.json(spark.createDataFrame([(x,) for x in lines], "value string")) if lines else spark.createDataFrame([], "text string")
+    return df if max_rows is None else df.limit(max_rows)
+
+
+def write_dataset(df: DataFrame, path: str, fmt: str | None = None) -> None:
+    kind, out = fmt or path_format(path), df.write.mode("overwrite")
+    if kind == "parquet":
+        out.parquet(path)
+    elif kind == "jsonl":
+        out.option("ignoreNullFields", "false").json(path)
+    elif kind in ("csv", "tsv"):
+        nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+        df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"', sep="\t" if kind == "tsv" else ",")
+    elif kind == "txt":
+        df.select(F.translate("text", "\r\n", "  ").alias("value")).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"no writer for {kind}")
+
+
+def decode_cells(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A text column whose JSON-like cells are decoded."""
+    cell = F.trim(column)
+    return df.withColumn(column, F.when(cell.rlike(r"(?s)^[\[{].*[\]}]$"), F.from_json(cell, schema)))
