@@ -248,7 +248,7 @@ def nb_train(spark, sf_dir):
     return analysis.naive_bayes(labelled(spark, sf_dir), "text", "toxic")
 
 
-@query(f"SELECT prev, next, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p, p.a AS prev, p.b AS next FROM (SELECT {_WORDS} AS w FROM benchmark)) GROUP BY ALL")
+@query(f"SELECT p.a AS prev, p.b AS next, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p FROM (SELECT {_WORDS} AS w FROM benchmark)) GROUP BY ALL")
 def bigram_counts(spark, sf_dir):
     return analysis.bigram_counts(table(spark, sf_dir, "benchmark"), split_words(F.coalesce("text", F.lit(""))))
 
