@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import strip
 
@@ -12,7 +13,7 @@ from ..functions.text import strip
 BAD = ["�", "<|im_end|>", "<|im_start|>", "<|endoftext|>", "[TODO:", "[insert code here]", "lorem ipsum"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def repeat_ratio(texts: pd.Series) -> pd.Series:
     """Share of word 3-grams that occurred before in the text; null for 30 words or fewer. As a native higher-order function this is re-evaluated per word."""
 
