@@ -161,10 +161,20 @@ def _read_batches(batches, folder: str):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _by_id_range(rows: DataFrame) -> DataFrame:
+    """Deal rows to ranges of doc_id. The bounds come from a scan of the ids alone; repartitionByRange would read the texts twice."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n == 1:
+        return rows.repartition(1)
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] or []
+    below = F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id"))
+    return rows.repartitionById(n, F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(below)).cast("int"))
+
+
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, file_tokens: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of docs to files in folder, in ascending id order (null ids first); returns the files: part, number, base, tokens, documents.
 
-    The texts are range-partitioned by id and sorted; base is the number of ids in all files before. The upper sum
+    The texts are dealt to ranges of ids and sorted; base is the number of ids in all files before. The upper sum
     has one row per file. folder must be reachable from all executors (a URI that Arrow knows). Null texts are empty:
     they have the end id only. An empty table gives no files.
     """
@@ -173,8 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = _by_id_range(rows).sortWithinPartitions("doc_id", "text")
     files = cut(rows.mapInArrow(partial(_write_batches, folder=folder, vocabulary=vocabulary, end_id=end_id, file_tokens=file_tokens), "part long, number long, tokens long, documents long"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("part", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), "tokens", "documents")
