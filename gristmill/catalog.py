@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import PII, WS, mask_secrets, normalised_tokens, redact, redaction_counts, split_words, strip
-from .operators import analysis, dedup, records, rules
+from .operators import analysis, dedup, evaluation, records, rules
 from .plans.curate import CurateConfig, curate, rejection_counts
 
 _queries: dict = {}
@@ -286,6 +286,67 @@ def python_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length(strip(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
+_NB = f"""WITH k AS (SELECT CAST(toxic AS VARCHAR) AS label, {_TOKENS} AS t FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL),
+    c AS (SELECT label, count(*) AS docs, sum(len(t)) AS total FROM k WHERE len(t) > 0 GROUP BY label),
+    m AS (SELECT label, token, count(*) AS c FROM (SELECT label, unnest(t) AS token FROM k) GROUP BY ALL),
+    v AS (SELECT count(DISTINCT token) AS v FROM m),
+    d AS (SELECT doc_id, {_TOKENS.replace("text", "coalesce(text, '')")} AS t FROM documents),
+    w AS (SELECT doc_id, unnest(t) AS token FROM d),
+    s AS (SELECT doc_id, label, sum(s) AS s FROM (
+        SELECT doc_id, label, ln(docs / (SELECT sum(docs) FROM c)) - len(t) * ln(total + (SELECT v FROM v)) AS s FROM d, c
+        UNION ALL SELECT doc_id, label, ln(m.c + 1) AS s FROM w JOIN m USING (token)) GROUP BY ALL),
+    p AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS peak FROM s)
+    SELECT doc_id, min(label) FILTER (s = peak) AS predicted, round(1 / sum(exp(s - peak)), 4) AS confidence FROM p GROUP BY doc_id"""
+
+
+@query(_NB)
+def nb_predict(spark, sf_dir):
+    out = evaluation.nb_predict(labelled(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", "toxic")
+    return out.withColumn("confidence", F.round("confidence", 4))
+
+
+_SIDES = "SELECT unnest(list_distinct([toxic, 1 - quality])) AS label, toxic AS a, 1 - quality AS p FROM labels"
+_AGREE = f"SELECT label, count(*) FILTER (a = label AND p = label) AS tp, count(*) FILTER (a <> label AND p = label) AS fp, count(*) FILTER (a = label AND p <> label) AS fn FROM ({_SIDES}) GROUP BY label"
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").withColumn("guess", 1 - F.col("quality"))
+
+
+@query(f"SELECT *, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM ({_AGREE})")
+def confusion(spark, sf_dir):
+    return evaluation.class_agreement(judged(spark, sf_dir), "toxic", "guess").withColumn("f1", F.round("f1", 6))
+
+
+@query(f"SELECT (SELECT round(avg(2 * tp / (2 * tp + fp + fn)), 6) FROM ({_AGREE})) AS macro_f1, (SELECT round(avg((toxic = 1 - quality)::INT), 6) FROM labels) AS accuracy")
+def macro_f1(spark, sf_dir):
+    out = evaluation.macro_f1(judged(spark, sf_dir), "toxic", "guess")
+    return out.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("""SELECT toxic AS label, count(*) AS n, round(avg((toxic = 1 - quality)::INT), 6) AS accuracy,
+    array_to_string(list_sort(list(doc_id) FILTER (toxic <> 1 - quality))[1:5], ',') AS examples FROM labels GROUP BY toxic""")
+def per_label_errors(spark, sf_dir):
+    out = evaluation.diagnose(judged(spark, sf_dir), "toxic", "guess", "doc_id", 5)
+    return out.select("label", "n", F.round("accuracy", 6).alias("accuracy"), F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
+
+
+@query("""SELECT event_type AS provider, round(sum(CASE event_type WHEN 'click' THEN i / 1000 * 0.5 + o / 1000 * 1.5 WHEN 'view' THEN i / 1000 * 2.0 END), 4) AS cost_usd,
+    sum(CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE i + o END)::BIGINT AS unpriced_tokens
+    FROM (SELECT event_type, event_id % 1000 AS i, event_id % 300 AS o FROM events) GROUP BY event_type""")
+def cost_estimate(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 1000).alias("i"), (F.col("event_id") % 300).alias("o"))
+    pricing = {"click": {"input_per_1k": 0.5, "output_per_1k": 1.5}, "view": {"input_per_1k": 2.0}}
+    return evaluation.cost_estimate(runs, pricing, "event_type", "i", "o").withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def merge_reports(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).groupBy("lang", "source").agg(F.count("*").alias("n")) for k in range(3)]
+    return evaluation.merge_reports(parts, ["lang", "source"], "n")
+
+
 def queries() -> dict:
     return dict(_queries)
 

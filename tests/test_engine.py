@@ -1,6 +1,6 @@
 import pytest
 
-from gristmill.operators import dedup, records
+from gristmill.operators import dedup, evaluation, records
 from gristmill.sources import files
 
 
@@ -16,3 +16,32 @@ def test_formats_and_containers():
 def test_exact_keep(spark):
     df = spark.createDataFrame([(0, " a b "), (1, "a b"), (2, "c")], "k long, text string")
     assert {r.k: r.keep for r in dedup.exact_keep(df, "k", "text").collect()} == {0: True, 1: False, 2: True}
+
+
+def test_nb_predict(spark):
+    train = spark.createDataFrame([("a", "good fine"), ("b", "bad awful bad"), (None, "good"), ("a", None)], "label string, text string")
+    rows = spark.createDataFrame([(1, "fine good"), (2, "bad"), (3, None), (4, "unseen")], "k int, text string")
+    got = {r.k: (r.predicted, round(r.confidence, 4)) for r in evaluation.nb_predict(train, rows, "k", "text", "label").collect()}
+    assert got[1] == ("a", round(1 / (1 + (1 / 7 / (2 / 6)) ** 2), 4)) and got[2] == ("b", round(1 / (1 + 1 / 6 / (3 / 7)), 4))
+    assert got[3] == ("a", 0.5) and got[4] == ("a", round(1 / (1 + 6 / 7), 4))
+    assert {r.predicted for r in evaluation.nb_predict(train.where("label = 'a'"), rows, "k", "text", "label").collect()} == {None}
+
+
+def test_agreement_with_nulls_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, "y", None), (4, None, "y")], "k int, a string, p string")
+    assert {r.label: (r.tp, r.fp, r.fn) for r in evaluation.class_agreement(df, "a", "p").collect()} == {"x": (1, 0, 1), "y": (0, 2, 1)}
+    assert {r.label: (r.n, r.examples) for r in evaluation.diagnose(df, "a", "p", "k", 1).collect()} == {"x": (2, [2]), "y": (1, [3]), None: (1, [4])}
+    assert tuple(evaluation.macro_f1(df.where("k > 9"), "a", "p").first()) == (0.0, 0.0)
+
+
+def test_cost_of_unpriced_providers(spark):
+    runs = spark.createDataFrame([("p", 1000, 2000), ("q", 5, 6), (None, 1, 1)], "who string, i long, o long")
+    got = {r.provider: (r.cost_usd, r.unpriced_tokens) for r in evaluation.cost_estimate(runs, {"p": {"input_per_1k": 1.0}}, "who", "i", "o").collect()}
+    assert got == {"p": (1.0, 0), "q": (None, 11), None: (None, 2)}
+
+
+def test_contract():
+    report = {"metrics": {"accepted_records": 6, "rejected_records": 4, "network_policy": "offline"}, "profile": {"classes": ["a"]}}
+    asked = {"max_rejected_fraction": 0.3, "required_network_policy": "offline", "required_classes": ["a", "b"], "min_quality_score": 5.0}
+    assert [v["requirement"] for v in evaluation.contract_violations(report, asked)] == ["min_quality_score", "max_rejected_fraction", "required_classes"]
+    assert evaluation.contract_violations(report, {}) == []
