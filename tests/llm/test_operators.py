@@ -403,6 +403,14 @@ def edits(a, b):
     return row[-1]
 
 
+def test_line_simhashes_together_and_alone():
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(["a", "bé", "word", "line", "x0"]) for _ in range(n)) for n in (1, 2, 127, 128, 254, 255, 900, 5, 0, 7)]
+    want = [line_dedup.line_simhash(x) for x in lines]
+    assert line_dedup.line_simhashes(lines) == line_dedup.line_simhashes(lines, most=200) == want
+    assert line_dedup.normalised_lines("A_ b,  c-12 ٣4\u00a0É\n\n_") == ["a b c 0 0 é", "", ""]
+
+
 def test_line_dedup(docs, rows, empty, spark):
     out = line_dedup.line_decisions(docs)
     lines = [(d, r, k, x) for r, (d, t, *_) in enumerate(rows) for k, x in enumerate(line_dedup.normalised_lines(t))]
