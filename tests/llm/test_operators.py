@@ -411,6 +411,13 @@ def test_line_simhashes_together_and_alone():
     assert line_dedup.normalised_lines("A_ b,  c-12 ٣4\u00a0É\n\n_") == ["a b c 0 0 é", "", ""]
 
 
+def test_lines_of_one_simhash(spark):
+    lines = [" ".join(["la"] * n) for n in (5, 9, 10, 11, 30, 31)]  # one word: all have the SimHash of "la" and "la la"
+    assert len({line_dedup.line_simhash(x) for x in lines}) == 1
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_line_dedup(docs, rows, empty, spark):
     out = line_dedup.line_decisions(docs)
     lines = [(d, r, k, x) for r, (d, t, *_) in enumerate(rows) for k, x in enumerate(line_dedup.normalised_lines(t))]
