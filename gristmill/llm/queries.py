@@ -36,7 +36,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents")).drop("row")
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"), radius=None).drop("row")
 
 
 def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

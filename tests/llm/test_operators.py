@@ -444,6 +444,35 @@ def test_line_dedup(docs, rows, empty, spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(near).collect()}[2] == "short one"
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
+    lines = [" ".join(["la"] * n) for n in range(5, 60)]  # 55 lines of one SimHash and one set of 5-grams
+    for n in [*range(5, 25)] * 3:
+        base = [word() for _ in range(n)]
+        typo = list(" ".join(base))
+        typo[typo.index(" ") + 1] = "z"
+        lines += [" ".join(base), "".join(typo), " ".join(base[:-1] + ["end"])]
+    lines = sorted(set(lines))
+    parent = {x: x for x in lines}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and find(a) != find(b) and sum((Counter(a) - Counter(b)).values()) <= most and edits(a, b) <= most:
+                parent[find(a)] = find(b)
+    firsts = {}
+    for k, x in enumerate(lines):
+        firsts.setdefault(find(x), k)
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]), radius=None)
+    assert {r.doc_id for r in out.collect() if not r.n_dropped} == set(firsts.values())
+
+
 def toxic_corpus(n=600, seed=1):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
