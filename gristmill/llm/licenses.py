@@ -21,6 +21,15 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
@@ -57,8 +66,12 @@ You should have received a copy of the GNU General Public License along with thi
 #: Equivalent spellings, after lower-casing and removal of punctuation.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "copyright holder": "copyright owner", "copyright holders": "copyright owners", "acknowledgement": "acknowledgment", "organisation": "organization", "recognise": "recognize", "favour": "favor", "https": "http", "merchantibility": "merchantability", "redistribution s": "redistributions"}
 
-#: Whole lines that name a holder or year, or only title a licence, are no part of its text.
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved|spdx-license-identifier)[^\n]*$"
+#: Whole lines that name a holder or year, or only title a licence, are no part of its text. Lines of the text itself may
+#: begin with the word or with (c) where it is wrapped: a year or sign must follow, or the line stands at the head.
+_NO_WORD = r"[^\p{L}\p{N}\n]*"
+_HEAD = r"\A[^\p{L}\p{N}]*((the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*)?"
+_HOLDER = r"(copyright\b|\(c\))[^\n]*"
+_COPYRIGHT = rf"(?m){_HEAD}{_HOLDER}(\n[^\p{{L}}\p{{N}}]*{_HOLDER}){{0,50}}|^{_NO_WORD}(copyright{_NO_WORD}(\(c\)|©|[0-9]{{4}}|<year>|\[yyyy\])|\(c\){_NO_WORD}(copyright\b|[0-9]{{4}})|©|all rights reserved|spdx-license-identifier)[^\n]*$"
 _TITLE = r"(?m)^[^\p{L}\p{N}\n]*(the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e[^\p{L}\p{N}\n]*$"
 
 

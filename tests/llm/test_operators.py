@@ -393,6 +393,16 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    wrap = lambda name: "\n".join(re.sub(r" (copyright|\\(c\\))", r"\n\1", x, flags=re.I) for x in licenses.KNOWN[name].split("\n"))
+    heads = ["", "Copyright (c) 2020 Some One\n", "Copyright 2020 Some One\nCopyright 2021, Other\n\n", "The ISC License\n\nCopyright Some One\n(c) Other\n\n", "(c) 2019 A\nAll rights reserved.\n"]
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
+    rows = [(k, h + wrap(n)) for k, n in enumerate(names) for h in heads]
+    assert all(re.search("(?im)^copyright", t) for _, t in rows)
+    out = licenses.license_scan(make(spark, [(d, t, "en", "a") for d, t in rows]))
+    assert got(out, "doc_id", "license") == Counter({(k, n): len(heads) for k, n in enumerate(names)})
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for x in a:
