@@ -19,6 +19,11 @@ def test_exact_keep(spark):
     assert {r.k: r.keep for r in dedup.exact_keep(df, "k", "text").collect()} == {0: True, 1: False, 2: True}
 
 
+def test_exact_keep_of_null_texts(spark):
+    df = spark.createDataFrame([(0, None), (1, " "), (2, "c"), (3, None)], "k long, text string")
+    assert {r.k: r.keep for r in dedup.exact_keep(df, "k", "text").collect()} == {0: True, 1: False, 2: True, 3: False}
+
+
 def test_copies_of_a_dropped_near_copy_go(spark):
     words = [f"w{k}" for k in range(60)]
     rows = [(0, " ".join(words)), (1, " ".join([*words, "x"])), (2, " ".join([*words, "x"])), (3, "something else entirely here"), (4, "something else entirely here")]
