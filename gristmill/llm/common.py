@@ -85,6 +85,23 @@ def lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, most: int =
     return dealt.join(other, on, "left").drop("_gm_key", "_gm_copy", "_gm_salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, parts: int = 4096, most: int = 100_000) -> DataFrame:
+    """Inner join of big with small on a key that small has once; count says how many rows of big have it.
+
+    Up to `most` rows of small are broadcast. Beyond that, keys with more than a share of 1 / parts of the counted rows,
+    of which there can be no more than `parts`, are broadcast, so that the join by key meets none of them.
+    """
+    one = small.agg(F.count("*").alias("n"), F.sum(count).alias("rows")).first()
+    if one["n"] <= most:
+        return big.join(F.broadcast(small), key)
+    least = one["rows"] // parts
+    hot, cold = small.where(F.col(count) > least), small.where(F.col(count) <= least)
+    if hot.isEmpty():
+        return big.join(cold, key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rest.unionByName(big.join(F.broadcast(hot), key).select(*rest.columns))
+
+
 def components(edges: DataFrame, a: str, b: str, label: str = "stars") -> DataFrame:
     """Connected components of undirected edges: one row (node, root) per node that has an edge; root is the smallest node.
 

@@ -413,17 +413,21 @@ def edits(a, b):
     return row[-1]
 
 
-def test_line_simhashes_together_and_alone():
-    rng = random.Random(3)
-    lines = [" ".join(rng.choice(["a", "bé", "word", "line", "x0"]) for _ in range(n)) for n in (1, 2, 127, 128, 254, 255, 900, 5, 0, 7)]
-    want = [line_dedup.line_simhash(x) for x in lines]
-    assert line_dedup.line_simhashes(lines) == line_dedup.line_simhashes(lines, most=200) == want
-    assert line_dedup.normalised_lines("A_ b,  c-12 ٣4\u00a0É\n\n_") == ["a b c 0 0 é", "", ""]
+def test_normalised_lines():
+    assert line_dedup.normalised_lines("A_ b,  c-12 00 4\u00a0\u00c9\u2026\n\n_") == ["a b c 0 0 0 \u00e9", "", ""]
+    assert line_dedup.normalised_lines(None) == line_dedup.normalised_lines("") == [""]
+    assert line_dedup.normalised_lines(" 1\t2\n\r\n x ") == ["0 0", "", "x"]
+
+
+def test_edit_distance():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 80))) for _ in range(2))
+        assert line_dedup.edit_distance(a, b) == edits(a, b)
 
 
-def test_lines_of_one_simhash(spark):
-    lines = [" ".join(["la"] * n) for n in (5, 9, 10, 11, 30, 31)]  # one word: all have the SimHash of "la" and "la la"
-    assert len({line_dedup.line_simhash(x) for x in lines}) == 1
+def test_lines_of_one_fingerprint(spark):
+    lines = [" ".join(["la"] * n) for n in (5, 9, 10, 11, 30, 31)]  # one word: all have one set of n-grams
     out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
     assert {r.doc_id: r.n_dropped for r in out.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
@@ -432,7 +436,6 @@ def test_line_dedup(docs, rows, empty, spark):
     out = line_dedup.line_decisions(docs)
     lines = [(d, r, k, x) for r, (d, t, *_) in enumerate(rows) for k, x in enumerate(line_dedup.normalised_lines(t))]
     long = sorted({x for *_, x in lines if len(x.split()) >= 5})
-    prints = {x: line_dedup.line_simhash(x) % 2**64 for x in long}
     parent = {x: x for x in long}
 
     def find(x):
@@ -442,7 +445,8 @@ def test_line_dedup(docs, rows, empty, spark):
 
     for k, a in enumerate(long):
         for b in long[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and line_dedup.edit_distance(a, b) <= most:
                 parent[find(a)] = find(b)
     groups = Counter(find(x) for *_, x in lines if x in parent)
     assert out.count() == len(rows)
@@ -452,6 +456,11 @@ def test_line_dedup(docs, rows, empty, spark):
     near = make(spark, [(1, base + "\nshort one", "en", "a"), (2, "short one\n" + base.upper() + "!", "en", "a"), (3, "A completely different line of many other words\n" + base, "en", "a")])
     assert {r.doc_id: r.dropped for r in line_dedup.line_decisions(near).collect()} == {1: [], 2: [1], 3: [1]}
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(near).collect()}[2] == "short one"
+    again = near.unionByName(near.where("doc_id = 1")).unionByName(near.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    left = line_dedup.drop_lines(again)
+    assert left.columns == near.columns and sorted(r.text for r in left.collect()) == sorted([base + "\nshort one", "short one", "short one", "short one", "A completely different line of many other words"])
+    named = near.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    assert {r.doc_id: r.dropped for r in line_dedup.line_decisions(named).collect()} == {"id-1": [], "id-2": [1], "id-3": [1]}
 
 
 def test_lines_by_edit_similarity_alone(spark):
@@ -479,7 +488,7 @@ def test_lines_by_edit_similarity_alone(spark):
     firsts = {}
     for k, x in enumerate(lines):
         firsts.setdefault(find(x), k)
-    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]), radius=None)
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
     assert {r.doc_id for r in out.collect() if not r.n_dropped} == set(firsts.values())
 
 
