@@ -38,7 +38,17 @@ def cut(df: DataFrame, label: str, **options) -> DataFrame:
     """Write df as a work table and read it back: later steps start from the shared folder, whatever executors are lost."""
     path = new_path(df.sparkSession, label)
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gm_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove work tables from which all that is needed has been written."""
+    for t in tables:
+        spark = t.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._gm_path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20) -> None:
@@ -47,6 +57,19 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def kind(df: DataFrame, column: str) -> str:
+    """A column's type, as schemas spell it."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
+def one_of_each(docs: DataFrame, keys: list[Column], length: Column) -> DataFrame:
+    """One row of those with equal keys: the longest, and of equally long ones any. Columns as they are."""
+    own = [f"_gm_k{k}" for k in range(len(keys))]
+    rows = docs.withColumns(dict(zip(own, keys)))
+    best = rows.groupBy(*own).agg(F.max_by(F.struct(*(f"`{c}`" for c in docs.columns)), length).alias("_gm_row"))
+    return best.select("_gm_row.*")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -118,7 +141,8 @@ def components(edges: DataFrame, a: str, b: str, label: str = "stars") -> DataFr
         large = cut(large.where("u <> v").distinct(), label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        old, pairs = pairs, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(old, large)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
