@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import PII, WS, mask_secrets, normalised_tokens, redact, redaction_counts, split_words, strip
-from .operators import analysis, dedup, evaluation, records, rules
+from .functions.text import PII, WS, mask_secrets, normalised_tokens, redact, redaction_steps, split_words, strip
+from .operators import analysis, dedup, evaluation, generate, records, rules
 from .plans.curate import CurateConfig, curate, rejection_counts
+from .providers.offline import STRATEGIES
 
 _queries: dict = {}
 _sql: dict[str, str] = {}
@@ -52,16 +53,18 @@ def chat_prompt_response(spark, sf_dir):
     return records.to_records(chats, "conv_id").select("conv_id", "prompt", "response")
 
 
-@query(f"SELECT count(*) AS chats, count(*) FILTER (prompt <> '' AND response <> '') AS both_sides FROM ({_CHAT})")
+@query(f"SELECT conv_id, prompt AS human, response AS gpt FROM ({_CHAT}) WHERE prompt <> '' AND response <> ''")
 def sharegpt_export(spark, sf_dir):
-    chats = records.assemble_chats(table(spark, sf_dir, "conversations"))
-    return chats.agg(F.count("*").alias("chats")).crossJoin(records.sharegpt(chats).agg(F.count("*").alias("both_sides")))
+    rows = records.sharegpt(records.assemble_chats(table(spark, sf_dir, "conversations")))
+    said = F.from_json("conversations", "array<struct<from:string,value:string>>")
+    side = lambda who: F.filter(said, lambda m: m["from"] == who)[0]["value"]
+    return rows.select("conv_id", side("human").alias("human"), side("gpt").alias("gpt"))
 
 
-@query("SELECT doc_id, coalesce(text, '') <> '' AS valid FROM documents")
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'no usable text' ELSE '' END AS errors FROM documents")
 def validate_documents(spark, sf_dir):
     rows = records.to_records(table(spark, sf_dir, "documents"), "doc_id")
-    return rows.select("doc_id", (F.size(records.validation_errors("raw")) == 0).alias("valid"))
+    return rows.select("doc_id", F.array_join(records.validation_errors("raw"), "; ").alias("errors"))
 
 
 _GRAMS = "CASE WHEN len(w) > 30 THEN 1.0 - len(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: [w[i], w[i + 1], w[i + 2]]))) / (len(w) - 2) END"
@@ -116,9 +119,8 @@ def pii_without_phone(spark, sf_dir):
 
 @query()
 def pii_sequential(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    counts = [v.alias(f"n_{k.lower()}") for k, v in redaction_counts(text).items()]
-    return table(spark, sf_dir, "documents").select("doc_id", redact(text).alias("text"), *counts)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return redaction_steps(rows, "text")
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_PLAIN['EMAIL_ADDRESS']}')) AS emails, len(regexp_extract_all(text, '{_PLAIN['IP_ADDRESS']}')) AS ips FROM documents")
@@ -158,9 +160,8 @@ _KEPT = "SELECT unnest(kept) AS {id} FROM (SELECT kept FROM g ORDER BY k DESC LI
 
 @query(f"WITH RECURSIVE {_PAIRS}, {_GREEDY} {_KEPT.format(id='doc_id')}")
 def near_dedup_keep(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    pairs = dedup.jaccard_pairs(dedup.shingle_sets(docs, "doc_id", "text"), 0.85)
-    return dedup.greedy_keep(docs.select(F.col("doc_id").alias("ord")), pairs).where("keep").select(F.col("ord").alias("doc_id"))
+    kept = dedup.near_keep(table(spark, sf_dir, "documents"), "doc_id", "text", 0.85)
+    return kept.where("keep").select(F.col("ord").alias("doc_id"))
 
 
 _COS = """w AS MATERIALIZED (SELECT vec_id AS rn, embedding::DOUBLE[] AS v FROM embeddings),
@@ -264,16 +265,16 @@ def audit_query(spark, sf_dir):
     return rows.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id, ((doc_id) % 4)::INT AS strategy, (doc_id // 20) AS batch FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM documents)")
+@query("SELECT doc_id, ['deepen_reasoning', 'add_constraints', 'concretize'][1 + r % 3] AS strategy, r // 20 AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)")
 def strategy_and_batch(spark, sf_dir):
-    rn = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(rn.cast("long").alias("doc_id")).select("doc_id", (F.col("doc_id") % 4).cast("int").alias("strategy"), F.floor(F.col("doc_id") / 20).alias("batch"))
+    rows = generate.cycled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", STRATEGIES)
+    return generate.batch_index(rows, "doc_id", 20)
 
 
 @query("WITH RECURSIVE d(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.c, d.depth + 1 FROM d JOIN (SELECT n_regionkey::BIGINT AS p, (100 + n_nationkey)::BIGINT AS c FROM nation) e ON e.p = d.node) SELECT node, min(depth) AS depth FROM d GROUP BY node")
 def lineage_recursive(spark, sf_dir):
     edges = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("parent"), (F.col("n_nationkey") + 100).cast("long").alias("child"))
-    return analysis.lineage(spark, edges, 1)
+    return analysis.lineage(edges, 1).where("depth >= 0")
 
 
 @query()

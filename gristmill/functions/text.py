@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The code points that Python's str.strip and str.split treat as white space.
@@ -16,8 +16,8 @@ PII = {
     "CREDIT_CARD": r"(?U)\b(?:\d[ -]*?){13,19}\b",
     "API_KEY": r"(?:AIza[0-9A-Za-z\-_]{35}|hf_[A-Za-z0-9]{34}|sk-[A-Za-z0-9\-_]{48}|sk-proj-[A-Za-z0-9\-_]{48,}|sk-ant-[A-Za-z0-9\-_]{48,})",
 }
-#: What identifies a person, redacted even in labelled data.
-IDENTIFIERS = {"API_KEY", "CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER"}
+#: Entities that identify a person, the only ones redacted in labelled data.
+IDENTIFIERS = ("API_KEY", "CREDIT_CARD", "EMAIL_ADDRESS", "IBAN_CODE", "IP_ADDRESS", "PHONE_NUMBER", "US_BANK_NUMBER", "US_ITIN", "US_PASSPORT", "US_SSN")
 #: Secrets to mask in logs, with their replacements.
 SECRETS = [
     (r"(?i)(bearer\s+)[^\s\"'<>]+", "$1[REDACTED]"),
@@ -40,22 +40,46 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def redact(text: Column, entities: list[str] | None = None) -> Column:
-    """Replace what each pattern finds in turn by <ENTITY>; later patterns see the replaced text."""
-    for name, pattern in PII.items():
+def may_match(name: str, text: Column) -> Column:
+    """Whether a text has the signs without which a pattern can't match: cheap to find, so that most texts meet few patterns.
+
+    Replacements add none of these signs, so it may look at the text before them.
+    """
+    if name == "EMAIL_ADDRESS":
+        return F.contains(text, F.lit("@"))
+    if name == "API_KEY":
+        return F.contains(text, F.lit("sk-")) | F.contains(text, F.lit("hf_")) | F.contains(text, F.lit("AIza"))
+    if name in ("PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD"):
+        return F.rlike(text, F.lit(r"(?U)\d"))
+    return F.lit(True)
+
+
+def _step(name: str, pattern: str):
+    return lambda t: F.when(may_match(name, t), F.regexp_replace(t, pattern, f"<{name}>")).otherwise(t)
+
+
+def redact(text: Column, entities: list[str] | None = None, patterns: dict[str, str] | None = None) -> Column:
+    """Replace what each pattern finds in turn by <ENTITY>; later patterns see the replaced text.
+
+    Each step binds its text by a one-element transform: the expression stays as long as the list of patterns.
+    """
+    for name, pattern in (patterns or PII).items():
         if entities is None or name in entities:
-            text = F.regexp_replace(text, pattern, f"<{name}>")
+            text = F.transform(F.array(text), _step(name, pattern))[0]
     return text
 
 
-def redaction_counts(text: Column, entities: list[str] | None = None) -> dict[str, Column]:
-    """How often each pattern is found, in the text as the patterns before leave it."""
-    out = {}
-    for name, pattern in PII.items():
+def redaction_steps(df: DataFrame, text: str, entities: list[str] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
+    """df with text redacted and one column n_<entity> of matches per pattern, counted in the text as the patterns before leave it.
+
+    Each step is a column of its own, so that a step's text is made once.
+    """
+    for k, (name, pattern) in enumerate((patterns or PII).items()):
         if entities is None or name in entities:
-            out[name] = F.regexp_count(text, F.lit(pattern))
-            text = F.regexp_replace(text, pattern, f"<{name}>")
-    return out
+            found = F.when(may_match(name, F.col(text)), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+            df = df.withColumn(f"n_{name.lower()}", found)
+            df = df.withColumn(text, F.when(F.col(f"n_{name.lower()}") > 0, F.regexp_replace(text, pattern, f"<{name}>")).otherwise(F.col(text)))
+    return df
 
 
 def mask_secrets(text: Column) -> Column:

@@ -1,17 +1,31 @@
-"""Cutting lineage."""
+"""Work tables: lineage is cut by writing a table in the shared folder and reading it back."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_fallback: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder of spark.checkpoint.dir; only a local session without one gets its own."""
+
+def work_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it. Where it is unset: a temp folder on a local master, else the warehouse."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    key = spark.sparkContext.applicationId
+    if key not in _fallback:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        _fallback[key] = f"file://{tempfile.mkdtemp(prefix='gristmill-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return _fallback[key]
+
+
+def cut(df: DataFrame, label: str = "work") -> DataFrame:
+    """df as a work table; later steps start from it, whatever executors are lost. It is removed when the application ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        local = sc.master.startswith("local") and "cluster" not in sc.master
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="gristmill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"))
-    return df.checkpoint()
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import cut
+
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
@@ -22,27 +24,65 @@ def profile(df: DataFrame, label: str) -> DataFrame:
     return one.select("rows", "labelled", F.array_join("classes", ",").alias("classes"), task.alias("task_type"), F.when(F.col("rows") == 0, 1.0).when(n >= 2, 1.0).otherwise(0.4).alias("confidence"))
 
 
+def positions(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of a column: ranges of it are sorted apart, and a range's start is the
+    sum of the counts before it. Null orders come first; of equal orders any comes first. Rows are written to a work table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(ranged.withColumns({"_part": F.spark_partition_id(), "_local": local}), "positions")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))  # a row per range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
+
+
 def representative_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
-    """Evenly spaced rows; a limit of 1 takes the middle one. Positions come from counts per range of the order, not from one sorted task."""
+    """Evenly spaced rows; a limit of 1 takes the middle one. Places come from counts per range of the order; only the order column is ranked."""
     n = df.count()
     if n <= limit:
         return df
     at = [n // 2] if limit == 1 else sorted({round(k * (n - 1) / (limit - 1)) for k in range(limit)})
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(order)) - 1)
-    return ranked.where(F.col("_rank").isin(at)).drop("_rank")
+    chosen = positions(df.select(F.col(order).alias("_order")), "_order", "_rank").where(F.col("_rank").isin(at)).select("_order")
+    return df.join(F.broadcast(chosen), df[order] == chosen["_order"], "left_semi")
 
 
 def stratified_shard(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
     """df with shard: rows of each label take the shards in turn."""
-    by = Window.partitionBy(label).orderBy(order)
-    return df.withColumn("shard", ((F.row_number().over(by) - 1) % n).cast("int"))
+    return df.join(label_positions(df, label, order).select(F.col(order).alias("_o"), "_pos"), F.col(order) == F.col("_o")).withColumn("shard", F.pmod("_pos", F.lit(n)).cast("int")).drop("_o", "_pos")
+
+
+def label_positions(df: DataFrame, label: str, order: str) -> DataFrame:
+    """order and _pos: a row's place among the rows of its label (null is one) by order. Ranges of (label, order) are ranked
+    apart and each label's own rows in the ranges before are added, so a label that most rows have is no hot key."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(order), F.col(label).cast("string").alias("_label"))
+    placed = rows.repartitionByRange(parts, "_label", order).sortWithinPartitions("_label", order)
+    placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "labels")
+    counts = placed.groupBy("_label", "_part").agg(F.count("*").alias("n"), F.min("_row").alias("_least"))  # few rows: a label's ranges are neighbours
+    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_label").alias("_l"), F.col("_part").alias("_p"), "_least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    here = placed.join(starts, placed["_label"].eqNullSafe(starts["_l"]) & (placed["_part"] == starts["_p"]))
+    return here.select(order, (F.col("_row") - F.col("_least") + F.col("_start")).alias("_pos"))
 
 
 def stratified_cap(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    by = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
+    """The first per_label rows of each label, by a hash of the key. Tasks keep their own first ones before rows meet."""
+    by = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)  # a rank limit, which Spark applies below the shuffle too
     return df.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_label).drop("_n")
 
 
+def balanced_cap(df: DataFrame, label: str, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows: each label has the same quota, and the first labels one more where it doesn't divide; all rows if they are that few."""
+    if df.count() <= limit:
+        return df
+    labels = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
+    each, more = divmod(limit, len(labels))
+    by = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
+    quota = F.when(F.col(label).cast("string").isin(labels[:more]), each + 1).otherwise(each) if more else F.lit(each)
+    return df.withColumn("_n", F.row_number().over(by)).where((F.col("_n") <= each + 1) & (F.col("_n") <= quota)).drop("_n")
+
+
 def hygiene(df: DataFrame, content: str, label: str) -> DataFrame:
     """Duplicate groups and rows, groups and rows with conflicting labels, empty texts."""
     groups = df.groupBy(content).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
@@ -86,10 +126,29 @@ def usage_summary(runs: DataFrame, provider: str, amount: str) -> DataFrame:
     return runs.groupBy(F.coalesce(provider, F.lit("unknown")).alias("provider")).agg(F.count("*").alias("runs"), F.round(F.sum(amount), 4).alias("amount"))
 
 
-def lineage(spark, edges: DataFrame, root: int) -> DataFrame:
-    """node, depth below root, over parent/child edges without cycles."""
-    edges.createOrReplaceTempView("_gristmill_edges")
-    return spark.sql(f"WITH RECURSIVE d(node, depth) AS (SELECT CAST({root} AS BIGINT), 0 UNION ALL SELECT e.child, d.depth + 1 FROM d JOIN _gristmill_edges e ON e.parent = d.node) SELECT node, min(depth) AS depth FROM d GROUP BY node")
+def lineage(edges: DataFrame, root, parent: str = "parent", child: str = "child", most: int | None = None) -> DataFrame:
+    """node, depth of everything reachable from root (0): descendants have a positive depth, ancestors a negative one.
+
+    Rounds over the edges, one work table each, of nodes that were not met before; so cycles end, and the number of levels
+    is not limited. A node that is both takes the descendant's depth. `most` keeps so many nodes of each side, the first by
+    depth and name.
+    """
+    kind = edges.schema[parent].dataType
+    links = cut(edges.select(F.col(parent).cast(kind).alias("p"), F.col(child).cast(kind).alias("c")).where("p is not null and c is not null").distinct(), "lineage")
+    start = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth"))
+
+    def walk(a: str, b: str, step: int) -> DataFrame:
+        met = front = start
+        while True:
+            found = links.join(front.select(F.col("node").alias(a), "depth"), a).select(F.col(b).alias("node"), (F.col("depth") + step).alias("depth")).distinct()
+            front = cut(found.join(met, "node", "left_anti"), "lineage")
+            if front.isEmpty():
+                return met.where("depth <> 0")
+            met = met.unionByName(front)
+
+    down, up = walk("p", "c", 1), walk("c", "p", -1)
+    sides = [x if most is None else x.orderBy(F.abs("depth"), "node").limit(most) for x in (down, up.join(down, "node", "left_anti"))]
+    return start.unionByName(sides[0]).unionByName(sides[1])
 
 
 class _Text(HTMLParser):

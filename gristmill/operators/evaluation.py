@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,28 +94,55 @@ def merge_reports(reports: list[DataFrame], keys: list[str], amount: str) -> Dat
     return merged.groupBy(*keys).agg(F.sum(amount).alias(amount))
 
 
-def contract_violations(report: dict, requirements: dict) -> list[dict]:
-    """What a finished run's report breaks: requirement, expected, actual. Requirements that are absent or None hold; evidence that is absent doesn't."""
-    metrics, out = report.get("metrics", {}), []
-    stages = metrics.get("stages", {})
+@dataclass(frozen=True)
+class Requirement:
+    """One line of a data contract: where the evidence is, when it suffices, and how both are shown."""
+
+    evidence: Callable[[dict], object]
+    holds: Callable[[object, object], bool]
+    wanted: Callable[[object], str]
+    found: Callable[[object, object], str]
+
+
+def _part(report: dict, *path: str):
+    for p in path:
+        report = (report or {}).get(p)
+    return report
+
+
+def _relative_gain(report: dict) -> float | None:
+    gate = _part(report, "metrics", "accuracy_gate") or {}
+    base = gate.get("original_accuracy_mean", gate.get("baseline_accuracy"))
+    absolute = gate.get("accuracy_gain")
+    return gate["relative_gain"] if gate.get("relative_gain") is not None else absolute / base if base and absolute is not None else None
 
-    def need(name: str, ok, expected, actual) -> None:
+
+def rejected_fraction(report: dict) -> float:
+    """Rejected records of all; 0 if there are none."""
+    gone, kept = (_part(report, "metrics", k) or 0 for k in ("rejected_records", "accepted_records"))
+    return gone / (gone + kept) if gone + kept else 0.0
+
+
+_AT_LEAST, _EQUAL = (lambda have, want: have is not None and have >= want), (lambda have, want: have == want)
+CONTRACT = {
+    "min_relative_accuracy_gain": Requirement(_relative_gain, _AT_LEAST, lambda w: f">= {w:.1%}", lambda h, w: "no evidence" if h is None else f"{h:+.1%}"),
+    "min_quality_score": Requirement(lambda r: _part(r, "metrics", "stages", "score_refine", "average_overall_score"), _AT_LEAST, lambda w: f">= {w:.2f}", lambda h, w: "unavailable" if h is None else f"{h:.2f}"),
+    "max_rejected_fraction": Requirement(rejected_fraction, lambda have, want: have <= want, lambda w: f"<= {w:.1%}", lambda h, w: f"{h:.1%}"),
+    "required_pii_policy": Requirement(lambda r: _part(r, "metrics", "stages", "pii", "policy"), _EQUAL, str, lambda h, w: str(h)),
+    "required_network_policy": Requirement(lambda r: _part(r, "metrics", "network_policy"), _EQUAL, str, lambda h, w: str(h)),
+    "required_classes": Requirement(lambda r: set(_part(r, "profile", "classes") or ()), lambda have, want: set(want) <= have, lambda w: f"includes {sorted(w)}", lambda h, w: f"missing {sorted(set(w) - h)}"),
+}
+
+
+def contract_violations(report: dict, requirements: dict) -> list[dict]:
+    """What a finished run's report breaks: requirement, expected, actual. Requirements that are absent or None
+    hold; evidence that is absent doesn't; a name that is not known ends the check."""
+    if unknown := set(requirements) - set(CONTRACT):
+        raise ValueError(f"unknown requirements: {sorted(unknown)}")
+    out = []
+    for name, rule in CONTRACT.items():
         want = requirements.get(name)
-        if want is not None and not ok(want):
-            out.append({"requirement": name, "expected": expected(want), "actual": actual})
-
-    gate = metrics.get("accuracy_gate") or {}
-    start, gain = gate.get("original_accuracy_mean", gate.get("baseline_accuracy")), gate.get("relative_gain")
-    if gain is None and start and gate.get("accuracy_gain") is not None:
-        gain = gate["accuracy_gain"] / start
-    need("min_relative_accuracy_gain", lambda w: gain is not None and gain >= w, lambda w: f">= {w:.1%}", "no evidence" if gain is None else f"{gain:+.1%}")
-    score = stages.get("score_refine", {}).get("average_overall_score")
-    need("min_quality_score", lambda w: score is not None and score >= w, lambda w: f">= {w:.2f}", "unavailable" if score is None else f"{score:.2f}")
-    kept, gone = metrics.get("accepted_records", 0), metrics.get("rejected_records", 0)
-    share = gone / (kept + gone) if kept + gone else 0.0
-    need("max_rejected_fraction", lambda w: share <= w, lambda w: f"<= {w:.1%}", f"{share:.1%}")
-    for name, found in (("required_pii_policy", stages.get("pii", {}).get("policy")), ("required_network_policy", metrics.get("network_policy"))):
-        need(name, lambda w, found=found: found == w, str, str(found))
-    classes = set(report.get("profile", {}).get("classes", []))
-    need("required_classes", lambda w: set(w) <= classes, lambda w: f"includes {sorted(w)}", f"missing {sorted(set(requirements.get('required_classes') or ()) - classes)}")
+        have = rule.evidence(report)
+        if want is not None and not rule.holds(have, want):
+            out.append({"requirement": name, "expected": rule.wanted(want), "actual": rule.found(have, want)})
     return out

@@ -1,15 +1,36 @@
-"""Curation of a stream: stateless checks and redaction, then exact dedup within a watermark."""
+"""Curation of a stream: stateless checks and redaction, then exact dedup within a watermark, or against what was kept before."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import redact, strip
 
 
 def curate_stream(stream: DataFrame, time: str, text: str = "text", delay: str = "1 hour") -> DataFrame:
-    """Rows with text, redacted; a copy of a text that came within `delay` is dropped. State is bounded by the watermark."""
+    """Rows with text, redacted; a copy of a text that came within `delay` is dropped. State is a digest per text, bounded by the watermark."""
     rows = stream.where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn(text, redact(F.col(text)))
-    rows = rows.withColumn("_key", F.xxhash64(strip(F.col(text)))).withWatermark(time, delay)
+    rows = rows.withColumn("_key", F.sha2(strip(F.col(text)), 256)).withWatermark(time, delay)
     return rows.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str, order: str, text: str = "text") -> StreamingQuery:
+    """Append to a Parquet folder what no earlier batch has kept: of each batch the first rows, by order, of new texts.
+
+    The folder has a column _key, the text's digest, to find copies by. A batch that is repeated after a failure finds its
+    own rows there and adds none twice.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        rows = batch.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("_key", F.sha2(strip(F.col(text)), 256))
+        first = rows.groupBy("_key").agg(F.min(order).alias("_first"))
+        rows = rows.join(first, "_key").where(F.col(order) == F.col("_first")).drop("_first")
+        spark = batch.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            rows = rows.join(spark.read.parquet(target).select("_key"), "_key", "left_anti")
+        rows.write.mode("append").parquet(target)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

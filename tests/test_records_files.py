@@ -1,0 +1,144 @@
+"""Records of all formats, and files of all containers."""
+
+import gzip
+import json
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gristmill.operators import records
+from gristmill.sources import files
+
+ROWS = [{"id": "1", "text": "first, \"quoted\"\nline", "label": 1, "source": "a"}, {"id": "2", "text": "zweite Zeile ü", "label": 2, "source": "b"}]
+
+
+def lines(spark, rows):
+    return spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+
+
+def test_format_of_each_line(spark):
+    rows = [
+        {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}, {"role": "human", "content": "more"}], "output": "x"},
+        {"prompt": "p", "chosen": "c", "rejected": "r", "output": "x"},
+        {"instruction": "do", "input": "this", "output": None, "text": "x"},
+        {"output": "only", "id": ""},
+        {"text": " t ", "labels": ["a", " ", "b"], "id": 7},
+        {"query": " ", "content": "c", "label": 3, "target": "late"},
+        {"messages": "no list", "text": "raw", "labels": None, "label": "shadowed"},
+        {"text": None, "category": 1.5},
+    ]
+    found = records.from_lines(lines(spark, rows).coalesce(1)).collect()
+    assert [r.fmt for r in found] == ["chat", "dpo", "alpaca", "alpaca", "raw", "custom", "raw", "raw"]
+    assert [r.prompt_text for r in found] == ["hi\n\nmore", "p", "do\n\nContext / Input:\nthis", "", "", "", "", ""]
+    assert [r.response_text for r in found] == ["yo", "c", "", "only", " t ", "", "raw", ""]
+    assert [r.classify_text for r in found] == ["hi\n\nmore", "p", "do\n\nthis", "", " t ", "c", "raw", ""]
+    assert [r.content for r in found][4:6] == ["t", "c"]
+    assert [(r.label_kind, r.labels) for r in found[4:]] == [("list", ["a", " ", "b"]), ("scalar", ["3"]), ("none", None), ("scalar", ["1.5"])]
+    assert [r.label_is_int for r in found[4:]] == [False, True, False, False]
+    assert found[4].id == "7" and all(r.id for r in found) and len({r.id for r in found}) == len(rows)
+    errors = [r.e for r in records.from_lines(lines(spark, [*rows, {"messages": []}]).coalesce(1)).select(F.array_join(records.row_errors(), "; ").alias("e")).collect()]
+    assert errors == ["", "", "instruction without output", "", "", "", "", "no usable text", "no usable text; empty messages"]
+
+
+def test_update_content(spark):
+    chats = [{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "a"}, {"role": "gpt", "content": "b"}, {"role": "assistant", "content": "c"}]}, {"messages": [{"role": "system", "content": "s"}]}, {"instruction": "i", "input": "x", "output": "o"}, {"prompt": "p", "chosen": "c", "rejected": "r"}, {"text": "t"}]
+    rows = records.from_lines(lines(spark, chats).coalesce(1)).withColumns({"np": F.lit("P"), "nr": F.lit("R")})
+    a, b, c, d, e = records.update_content(rows, "np", "nr").collect()
+    assert [(m.role, m.content) for m in a.messages] == [("system", "s"), ("user", "P"), ("gpt", "b"), ("assistant", "R")]
+    assert [(m.role, m.content) for m in b.messages] == [("user", "P"), ("system", "s"), ("assistant", "R")]
+    assert (c.instruction, c.input, c.output, d.prompt, d.chosen, e.text) == ("P", "", "R", "P", "R", "R")
+
+
+@pytest.mark.parametrize("name", ["a.jsonl", "a.ndjson", "a.jsonl.gz", "a.json", "a.json.gz", "a.yaml", "a.yml", "a.parquet", "a.pq", "a.arrow", "a.feather", "a.ipc", "a.csv", "a.tsv", "a.csv.gz"])
+@pytest.mark.parametrize("single", [False, True])
+def test_round_trip(spark, tmp_path, name, single):
+    path = str(tmp_path / name)
+    df = spark.createDataFrame([tuple(r.values()) for r in ROWS], "id string, text string, label long, source string")
+    for _ in range(2):  # the second time replaces the first
+        files.write_dataset(df, path, single=single)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == [name]
+    found = files.read_dataset(spark, path)
+    assert sorted((str(r.id), r.text, r.label, r.source) for r in found.collect()) == [tuple(r.values()) for r in ROWS]
+    assert files.read_dataset(spark, path, max_rows=1).count() == 1
+
+
+def test_txt(spark, tmp_path):
+    df = spark.createDataFrame([("a\r\nb",), ("c",), (None,)], "text string")
+    files.write_dataset(df, str(tmp_path / "x.txt"))
+    (tmp_path / "y.txt").write_bytes(b"one\r\n\r\n  \ntwo")
+    assert sorted(r.text for r in files.read_dataset(spark, str(tmp_path / "x.txt")).collect()) == ["a  b", "c"]
+    assert [r.text for r in files.read_dataset(spark, str(tmp_path / "y.txt")).collect()] == ["one", "  ", "two"]
+
+
+def test_containers(spark, tmp_path):
+    assert files.container_rows({"records": [{"a": 1}]}) == [{"a": 1}]
+    assert files.container_rows({"train": [{"a": 1}], "test": [{"a": 2}]}) == [{"a": 1, "split": "train"}, {"a": 2, "split": "test"}]
+    assert files.container_rows({"text": ["x", "y"], "label": [1, 2]}) == [{"text": "x", "label": 1}, {"text": "y", "label": 2}]
+    assert files.container_rows({"text": "one"}) == [{"text": "one"}]
+    for bad in (3, ["x"]):
+        with pytest.raises(ValueError, match="object"):
+            files.container_rows(bad)
+    for name in ("dataset.unknown", "x.parquet.gz", "x"):
+        with pytest.raises(ValueError, match="Unsupported dataset format"):
+            files.path_format(name)
+    (tmp_path / "w.json").write_text(json.dumps({"data": ROWS}))
+    assert files.read_dataset(spark, str(tmp_path / "w.json")).count() == 2
+
+
+def test_lines_that_are_no_objects(spark, tmp_path):
+    for bad in ('[{"a": 1}, {"a": 2}]', "3", "{broken"):
+        (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n  \n' + bad + "\n")
+        with pytest.raises(Exception, match="NDJSON row must be an object"):
+            files.read_dataset(spark, str(tmp_path / "x.jsonl")).collect()
+    (tmp_path / "y.jsonl").write_bytes(b'\n{"a": 1}\n\t\n{"a": null}')
+    assert [r.a for r in files.read_dataset(spark, str(tmp_path / "y.jsonl")).collect()] == [1, None]
+
+
+def test_cells_keep_what_is_no_json(spark):
+    cells = ["plain", '{"a": 1}', "[1, 2]", "[broken", "[broken]", "", None, " {\"a\": null} "]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, c string")
+    typed = {r.k: r.c for r in files.decode_cells(df, "c", "struct<a:int>").collect()}
+    assert typed[0].text == "plain" and typed[1].json.a == 1 and typed[1].text is None and typed[5].text == "" and typed[6] is None
+    free = {r.k: r.c for r in files.decode_cells(df, "c").select("k", F.to_json("c").alias("c")).collect()}
+    assert [free[k] for k in range(7)] == ['"plain"', '{"a":1}', "[1,2]", '"[broken"', '"[broken]"', '""', None] and free[7] == '{"a":null}'
+    assert dict(files.encode_cells(spark.range(1).select(F.array(F.lit(1)).alias("x"), "id")).dtypes) == {"x": "string", "id": "bigint"}
+
+
+def test_dataset_folder(spark, tmp_path):
+    for split in ("train", "test"):
+        folder = tmp_path / "dataset_dict" / split
+        folder.mkdir(parents=True)
+        table = pa.table({"text": [f"{split} {k}" for k in range(3)]})
+        with pa.ipc.new_stream(str(folder / "data-00000.arrow"), table.schema) as out:
+            out.write_table(table)
+    found = files.read_dataset(spark, str(tmp_path / "dataset_dict"), fmt="dataset").collect()
+    assert {(r.split, r.text) for r in found} == {(s, f"{s} {k}") for s in ("train", "test") for k in range(3)}
+
+
+def test_input_guard(spark, tmp_path):
+    (tmp_path / "x.jsonl.gz").write_bytes(gzip.compress(b'{"a": "' + b"x" * 1000 + b'"}\n'))
+    path = str(tmp_path / "x.jsonl.gz")
+    assert files.check_input(spark, path) >= 1000
+    for limits, word in (({"max_record_bytes": 500}, "record"), ({"max_total_bytes": 500}, "expanded"), ({"max_file_bytes": 10}, "file size")):
+        with pytest.raises(files.InputTooLarge, match=word):
+            files.check_input(spark, path, **limits)
+
+
+def test_partition_and_merge(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"row {k}", k % 3 if k < 27 else None) for k in range(30)], "id long, text string, label long")
+    assert files.partition_files(df, str(tmp_path / "parts"), 3, "label", "id") == [0, 1, 2]
+    back = spark.read.json(str(tmp_path / "parts"))
+    assert all(r["count"] >= 3 for r in back.where("label is not null").groupBy("partition", "label").count().collect())
+    assert back.where("label is not null").groupBy("partition", "label").count().count() == 9
+    assert len(files.partition_files(df.limit(3), str(tmp_path / "few"), 10)) <= 3
+    for rows, n, word in ((df, 0, "num_partitions"), (df.limit(0), 2, "No rows found")):
+        with pytest.raises(ValueError, match=word):
+            files.partition_files(rows, str(tmp_path / "none"), n)
+    for k, n in enumerate((5, 7)):
+        files.write_dataset(df.limit(n), str(tmp_path / f"p{k}.jsonl"))
+        files.write_text(spark, str(tmp_path / f"p{k}.report.json"), json.dumps({"metrics": {"usage": {"input_tokens": 15, "output_tokens": 6, "total_tokens": 21}}, "rejection_reasons": {"dedup: x": k + 1}}))
+    files.write_dataset(df.limit(1), str(tmp_path / "p1.rejected.jsonl"))
+    merged = files.merge_files(spark, [str(tmp_path / f"p{k}.jsonl") for k in range(2)], str(tmp_path / "all.jsonl"))
+    assert merged == {"partitions_merged": 2, "accepted_records": 12, "rejected_records": 1, "usage": {"input_tokens": 30, "output_tokens": 12, "total_tokens": 42}, "rejection_reasons": {"dedup: x": 3}}
+    assert json.loads(files.read_text(spark, str(tmp_path / "all.report.json"))) == merged
