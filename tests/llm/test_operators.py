@@ -215,7 +215,7 @@ def stats_by_force(t):
 
 
 def test_quality(docs, rows, empty):
-    out = quality.quality_rules(docs, least_rows=5)
+    out = quality.quality_rules(docs, weight=5)
     want = Counter()
     for d, t, *_ in rows:
         s = stats_by_force(t)
