@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.train(docs, labels.where(~held))
     out = toxicity.toxicity_scores(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -49,11 +49,11 @@ def op6_bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_ball.near_groups(table(spark, sf_dir, "documents")).drop("fp")
+    return simhash_ball.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,14 @@ def _canonical_sql(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
     for pattern in (licenses._COPYRIGHT, licenses._TITLE):
         out = f"regexp_replace({out}, {_literal(pattern)}, '', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    words = {a: b for a, b in licenses.SPELLINGS.items() if " " not in a}
+    case = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words.items())
+    out = f"list_transform(string_split(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: CASE w {case} ELSE w END)"
+    out = f"' ' || array_to_string({out}, '  ') || ' '"
     for a, b in licenses.SPELLINGS.items():
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+        if a not in words:
+            out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kind
 
 #: The kernel: subsequences of 4 letters that span at most 7 characters, each weighed by DECAY per character skipped.
 SPAN, DECAY = 7, 0.7
@@ -34,6 +34,25 @@ def _letters() -> np.ndarray:
 
 
 _TABLE = _letters()
+_OTHERS: list[np.ndarray] = []
+
+
+def _beyond(codes: np.ndarray) -> np.ndarray:
+    """Letter codes of characters beyond Latin-1: letters of any script are spread over the 31 codes, all else is 0."""
+    if not _OTHERS:
+        spread = 1 + (np.arange(1 << 16, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(31)
+        _OTHERS.append(np.where([chr(c).isalpha() for c in range(1 << 16)], spread, 0).astype(np.int32))
+    low = _OTHERS[0][np.minimum(codes, 0xFFFF)]
+    return np.where(codes <= 0xFFFF, low, np.where(codes >= 0x20000, 1 + codes.astype(np.int64) % 31, 0)).astype(np.int32)
+
+
+def _plain(text: str) -> np.ndarray:
+    """A letter code for each character of a lower-case text."""
+    try:
+        return _TABLE[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        return np.where(codes < 256, _TABLE[np.minimum(codes, 255)], _beyond(codes))
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +66,13 @@ def _encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A sign or space between two letters that stand alone is left out: s.p.e.l.l.e.d words are words.
     """
-    gap, parts, starts, at = bytes(SPAN + WIDTH), [], [], 0
+    gap, parts, starts, at = np.zeros(SPAN + WIDTH, np.int32), [], [], 0
     for t in texts:
-        data = (t or "").lower().encode("latin-1", "replace")
+        data = _plain((t or "").lower())
         starts.append(at)
         at += len(data) + len(gap)
         parts += (data, gap)
-    x = _TABLE[np.frombuffer(b"".join(parts), np.uint8)]
+    x = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     letter = np.concatenate(([False, False], x > 0, [False, False]))
     alone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
     keep = ~(~letter[2:-2] & alone[:-2] & alone[2:])
@@ -119,6 +138,8 @@ class Landmarks:
 
     def _matrix(self, found: list) -> np.ndarray:
         out = np.zeros((len(found), len(self.codes)), np.float32)
+        if not len(self.codes):  # no landmark has a letter
+            return out
         for row, (codes, weights) in zip(out, found):
             at = np.searchsorted(self.codes, codes)
             at[at == len(self.codes)] = 0
@@ -248,20 +269,39 @@ def unpacked(model: bytes) -> tuple[np.ndarray, float, float]:
     return np.frombuffer(data[16:], "<f4"), float(slope), float(constant)
 
 
-def score(texts: list[str], model: tuple[np.ndarray, float, float]) -> np.ndarray:
-    weights, slope, constant = model
-    if not texts:
-        return np.zeros(0)
-    x, starts = encode(texts)
-    top = np.maximum.reduceat(window_scores(x, weights), starts)
-    return 1 / (1 + np.exp(-np.clip(slope * top + constant, -30, 30)))
+#: Texts are scored in runs of about so many characters; longer ones in parts that overlap by more than a window.
+RUN, OVERLAP = 1 << 20, 128
 
 
-def _fit_batches(batches, landmarks: int):
-    texts, labels = [], []
-    for b in batches:
-        texts += [x or "" for x in b.column(0).to_pylist()]
-        labels += b.column(1).to_pylist()
+def score(texts: list[str], model: tuple[np.ndarray, float, float]) -> np.ndarray:
+    weights, slope, constant = model
+    best, held, owners, size = np.full(len(texts), -np.inf), [], [], 0
+
+    def flush():
+        x, starts = encode(held)
+        np.maximum.at(best, np.array(owners), np.maximum.reduceat(window_scores(x, weights), starts))
+
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t or "")), RUN):
+            held.append((t or "")[at : at + RUN + OVERLAP])
+            owners.append(k)
+            size += len(held[-1])
+            if size >= RUN:
+                flush()
+                held, owners, size = [], [], 0
+    if held:
+        flush()
+    return 1 / (1 + np.exp(-np.clip(slope * best + constant, -30, 30)))
+
+
+def _fit_batches(batches, landmarks: int, most_chars: int):
+    texts, labels, held = [], [], 0
+    for b in batches:  # rows come in the order of their ids' hash
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if held < most_chars:
+                texts.append(text or "")
+                labels.append(label)
+                held += len(text or "")
     order = sorted(range(len(texts)), key=lambda k: (zlib.crc32(texts[k].encode()), texts[k]))
     yield pa.RecordBatch.from_arrays([pa.array([fit([texts[k] for k in order], [labels[k] for k in order], landmarks)], pa.binary())], names=["model"])
 
@@ -269,30 +309,36 @@ def _fit_batches(batches, landmarks: int):
 def _score_batches(batches, model: bytes):
     unpack = unpacked(model)
     for b in batches:
-        texts, out = b.column(1).to_pylist(), []
-        for k in range(0, len(texts), 256):
-            out.append(score(texts[k : k + 256], unpack))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist(), unpack))], names=["doc_id", "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 3000, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
-    """Fit on a bounded sample of labelled rows: at most most_toxic and most_clean of them, the first by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 3000, landmarks: int = 256, most_chars: int = 200_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
+    """Fit on a bounded sample of labelled rows: at most most_toxic and most_clean of them, the first by a hash of their
+    ids, and of these the first until their whole texts have most_chars characters.
 
-    Rows without a label or a document are left out; a repeated label row counts once. The sample's whole texts go to
-    one task, and the model (a few MB at most) to the driver.
+    Rows without a label or a document are left out; a repeated label row counts once. The sample goes to one task, and
+    the model (a few MB at most) to the driver. Ids may have any type; if the two tables' types differ, and one is no
+    integer, they are compared as text. Without rows of both labels, all texts get one low score.
     """
-    rows = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_gm_id")).agg(F.max(F.col(label_col).cast("int")).alias("_gm_label"))
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    as_id = "long" if {kind(labels, id_col), kind(docs, id_col)} <= whole else "string"
+    rows = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast(as_id).alias("_gm_id")).agg(F.max(F.col(label_col).cast("int")).alias("_gm_label"))
     key = F.xxhash64("_gm_id", F.lit(3))
     parts = [rows.where(c).orderBy(key, "_gm_id").limit(n) for c, n in ((F.col("_gm_label") > 0, most_toxic), (F.col("_gm_label") <= 0, most_clean))]
     chosen = parts[0].unionByName(parts[1])
     bounded_batches(docs.sparkSession)
-    texts = docs.join(F.broadcast(chosen), docs[id_col].cast("long") == F.col("_gm_id")).select(F.col(text_col).alias("text"), F.when(F.col("_gm_label") > 0, 1).otherwise(0).alias("label"))
-    found = texts.repartition(1).mapInArrow(partial(_fit_batches, landmarks=landmarks), "model binary").first()
+    texts = docs.join(F.broadcast(chosen), docs[id_col].cast(as_id) == F.col("_gm_id")).select(F.col(text_col).alias("text"), F.when(F.col("_gm_label") > 0, 1).otherwise(0).alias("label"), key.alias("_gm_key"))
+    texts = texts.repartition(1).sortWithinPartitions("_gm_key").select("text", "label")
+    found = texts.mapInArrow(partial(_fit_batches, landmarks=landmarks, most_chars=most_chars), "model binary").first()
     return bytes(found["model"]) if found else fit([], [])
 
 
 def toxicity_scores(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) for every row: the worst window of the whole text. Null and empty texts are scored as texts without letters."""
+    """doc_id and score (0 to 1) for every row: the worst window of the whole text.
+
+    Null and empty texts are scored as texts without letters. Letters of scripts other than Latin share the kernel's 31
+    codes, so such words are told apart less well. Ids keep their type; repeated rows each have a row.
+    """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_score_batches, model=model), "doc_id long, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(partial(_score_batches, model=model), f"doc_id {kind(docs, id_col)}, score double")
