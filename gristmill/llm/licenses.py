@@ -57,6 +57,15 @@ Unless required by applicable law or agreed to in writing, software distributed
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
     "MIT (line)": "Released under the MIT License.",
     "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
@@ -79,10 +88,11 @@ def canonical(text: Column) -> Column:
     """Lower case, without copyright and title lines and punctuation, words one space apart, in one spelling; null is empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(F.regexp_replace(out, _COPYRIGHT, ""), _TITLE, "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for a, b in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+    # two spaces between words, so that each word of a row of equal ones has spaces of its own to match
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    for a, b in sorted(SPELLINGS.items(), key=lambda x: " " in x[0]):  # words first, then phrases
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.replace(F.trim(out), F.lit("  "), F.lit(" "))
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -95,14 +105,15 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
 def license_scan(docs: DataFrame, texts: dict[str, str] | None = None, most: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, digest, license (null if the whole text is no known licence).
 
-    Texts without a word have no licence. Repeated rows each have a row; an empty table gives no rows. The known
+    Texts without a word have no licence; very long texts are read whole. Ids keep their type, other columns are not
+    looked at. Repeated rows each have a row; an empty table gives no rows. The known
     digests are broadcast up to `most` of them, which is checked; beyond, the join is shuffled on the digest, in which
     only texts of one licence share a key.
     """
     n = len(KNOWN if texts is None else texts)
     side = known(docs.sparkSession, texts)
     text = canonical(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_gm_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_gm_text"))
     rows = rows.select("doc_id", F.sha2("_gm_text", 256).alias("digest"), (F.col("_gm_text") != "").alias("_gm_any"))
     out = rows.join(F.broadcast(side) if n <= most else side, "digest", "left")
     return out.select("doc_id", "digest", F.when(F.col("_gm_any"), F.col("license")).alias("license"))
