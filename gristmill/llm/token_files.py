@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, new_path
+from .common import bounded_batches, cut, kind, new_path
 from .tokens import tokenizer
 
 #: Fixed values of the public zstandard seekable format: a skippable frame with (compressed size, size, checksum) per
@@ -118,7 +118,9 @@ class FrameReader:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a URI as Spark spells it; Arrow has other names for some."""
+    scheme, sep, rest = path.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}.get(scheme, scheme) + sep + rest)
 
 
 def _write_batches(batches, folder: str, vocabulary: str, end_id: int, file_tokens: int):
@@ -162,13 +164,27 @@ def _read_batches(batches, folder: str):
 
 
 def _by_id_range(rows: DataFrame) -> DataFrame:
-    """Deal rows to ranges of doc_id. The bounds come from a scan of the ids alone; repartitionByRange would read the texts twice."""
+    """Deal rows to ranges of doc_id, null first. The bounds come from a scan of the ids alone; repartitionByRange would read the texts twice.
+
+    An id that many rows have is several bounds: its rows are dealt over all ranges that end at it, by a hash of their
+    text. Null ids have as many ranges as their share asks for. A row's place among the bounds is found in two steps,
+    first in every 64th of them.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n == 1:
         return rows.repartition(1)
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] or []
-    below = F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id"))
-    return rows.repartitionById(n, F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(below)).cast("int"))
+    found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("b"), F.count("*").alias("all"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    bounds, nulls = found["b"] or [], -(-found["none"] * n // max(1, found["all"]))
+    step = 64
+    all_, coarse = (F.array(*map(F.lit, x)).cast("array<bigint>") for x in (bounds, bounds[step - 1 :: step]))
+    at = F.col("doc_id")
+    first = F.size(F.filter(coarse, lambda b: b < at)) * step
+    below = first + F.size(F.filter(F.slice(all_, first + 1, step), lambda b: b < at))
+    upto = F.size(F.filter(coarse, lambda b: b <= at)) * step
+    equal = upto + F.size(F.filter(F.slice(all_, upto + 1, step), lambda b: b <= at)) - below
+    salt = F.xxhash64("text")
+    place = F.when(at.isNull(), F.pmod(salt, F.lit(max(1, nulls)))).otherwise(nulls + below + F.when(equal > 1, F.pmod(salt, equal + 1)).otherwise(0))
+    return rows.repartitionById(n + nulls, place.cast("int"))
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, file_tokens: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,10 +192,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
 
     The texts are dealt to ranges of ids and sorted; base is the number of ids in all files before. The upper sum
     has one row per file. folder must be reachable from all executors (a URI that Arrow knows). Null texts are empty:
-    they have the end id only. An empty table gives no files.
+    they have the end id only. Repeated ids are documents of their own, in the order of their texts within a file; ids must
+    be integers, of any size. Other columns are not looked at. An empty table gives no files.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    if kind(docs, id_col) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("the files' table of documents holds 64-bit ids: ids must be integers")
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
