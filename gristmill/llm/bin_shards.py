@@ -79,27 +79,28 @@ def even_bins(sizes: list[int], bins: int, rounds: int = 14) -> list[int]:
     return best
 
 
-def assign(docs: DataFrame, shards: int = 40, most_items: int = 1 << 16, pieces: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, most_items: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     size: the text's bytes (null: none) plus 16. Equal texts (null and empty are equal) are a group, which stays whole;
-    a group that no shard can hold is split by hash into `pieces`. Groups of 1 / most_items of all bytes or more are
+    a group that no shard can hold is split by a hash of its rows into 16 pieces for each shard it would fill. Groups of 1 / most_items of all bytes or more are
     items by themselves; smaller ones are joined by hash to at most most_items items. So the tree packs a bounded
     number of items, whatever the input: most_items of each kind. slot numbers a shard's rows from 0.
-    An empty table gives no rows; repeated rows each have a slot.
+    Ids keep their type. An empty table gives no rows; repeated rows each have a slot.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group"))
-    rows = cut(rows.withColumn("piece", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(pieces)).cast("int")), "bins-rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group"))
+    fine = max(4096, 16 * shards)
+    rows = cut(rows.withColumn("piece", F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(fine)).cast("int")), "bins-rows")
     parts = cut(rows.groupBy("group", "piece").agg(F.sum("size").alias("size")), "bins-parts")
     groups = cut(parts.groupBy("group").agg(F.sum("size").alias("size")), "bins-groups")
     total = groups.agg(F.sum("size")).first()[0] or 0
     capacity = max(1, -(-total // shards))
     whole = -(-total // most_items)
-    large = groups.where(F.col("size") >= max(whole, 1)).select("group", (F.col("size") > capacity).alias("split"))
+    large = groups.where(F.col("size") >= max(whole, 1)).select("group", (F.col("size") > capacity).alias("split"), F.least(F.ceil(F.col("size") / capacity) * 16, F.lit(fine)).alias("cuts"))
     large = cut(large, "bins-large")  # most_items rows at most
-    item = F.when(F.col("split").isNull(), F.concat(F.lit("h"), F.pmod(F.xxhash64("group"), F.lit(most_items)).cast("string"))).when(F.col("split"), F.concat_ws(":", "group", "piece")).otherwise(F.col("group"))
+    item = F.when(F.col("split").isNull(), F.concat(F.lit("h"), F.pmod(F.xxhash64("group"), F.lit(most_items)).cast("string"))).when(F.col("split"), F.concat_ws(":", "group", F.floor(F.col("piece") * F.col("cuts") / fine).cast("string"))).otherwise(F.col("group"))
     named = parts.join(F.broadcast(large), "group", "left").withColumn("item", item)
     items = named.groupBy("item").agg(F.sum("size").alias("size")).toPandas().sort_values("item")
     items["shard"] = np.array(even_bins(items["size"].tolist(), shards), np.int32)
