@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lookup
+from .common import bounded_batches, cut, kind, lookup
 
 SYMBOLS = "#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -88,22 +88,24 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float], error:
     return cum.groupBy(*keys).agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") >= F.col("all") * q, F.struct("bin", middle.alias("v"))))["v"].alias(k) for k, q in at.items()))
 
 
-def quality_rules(docs: DataFrame, spread: float = 4.0, least_rows: int = 200, error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, the five base measures, base_failed, kept and row, docs' row in reading order.
+def quality_rules(docs: DataFrame, spread: float = 4.0, weight: int = 30, error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, the five base measures, base_failed, kept, group_weight, lang, source, key (a hash of the text).
 
     Base rules: fewer than 50 words, or over half the words in repeated 3-word windows. The others learn a fence per
     language and source from the rows that pass the base rules: quartiles from mergeable sketches, fence = third
     quartile + spread * (distance of the quartiles, with a least distance), for word length also below the first.
     Quartiles hold still while less than a quarter of a group is junk, and no fixed share of a clean group is lost.
-    Groups of fewer than `least_rows` rows take their language's merged sketch, and languages of fewer that of all.
+    Small groups lean on larger ones, without a step: a language's quartiles are drawn to those of all rows, and a
+    group's to its language's, as if `weight` of its rows had those. group_weight says how much is the group's own, its
+    rows / (its rows + weight); 0 if none of its rows passes the base rules.
 
-    Null and empty texts have no words and fail. A null language or source is a group like any other. Repeated rows
-    each have a row. An empty table gives no rows.
+    Null and empty texts have no words and fail. A null language or source is a group like any other. Ids keep their
+    type. Repeated rows each have a row. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    slim = slim.mapInArrow(_stats_batches, f"doc_id long, lang string, source string, {BASE}")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    slim = slim.mapInArrow(_stats_batches, f"doc_id {kind(docs, id_col)}, lang string, source string, key long, {BASE}")
     slim = slim.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     slim = cut(slim.withColumns(measures()), "quality-measures")
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in measures())))
@@ -115,10 +117,11 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, least_rows: int = 200, e
     two = quantiles(merged, ["lang", "measure"], at, error).select(F.col("lang").alias("lang2"), F.col("measure").alias("measure2"), *(F.col(c).alias(f"{c}2") for c in ("n", *at)))
     every = quantiles(merged.groupBy("measure", "bin").agg(F.sum("n").alias("n")), ["measure"], at, error).select(F.col("measure").alias("measure3"), *(F.col(c).alias(f"{c}3") for c in at))
     all_three = one.join(two, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("measure2"))).join(F.broadcast(every), F.col("measure") == F.col("measure3"))
-    pick = {c: F.when(F.col("n") >= least_rows, F.col(c)).when(F.col("n2") >= least_rows, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) for c in at}
-    fences = all_three.select("lang", "source", "measure", *(v.alias(c) for c, v in pick.items()))
+    drawn = lambda own, n, to: (F.col(n) * F.col(own) + weight * to) / (F.col(n) + weight)
+    pick = {c: drawn(c, "n", drawn(f"{c}2", "n2", F.col(f"{c}3"))) for c in at}
+    fences = all_three.select("lang", "source", "measure", "n", *(v.alias(c) for c, v in pick.items()))
     gap = F.greatest(F.col("high") - F.col("low"), F.element_at(F.create_map(*(F.lit(x) for kv in (UPPER | BOTH).items() for x in kv)), F.col("measure")) / spread)
-    fences = fences.groupBy("lang", "source").pivot("measure", list(UPPER | BOTH)).agg(F.first(F.struct((F.col("low") - spread * gap).alias("low"), (F.col("high") + spread * gap).alias("high"))))
+    fences = fences.groupBy("lang", "source").pivot("measure", list(UPPER | BOTH)).agg(F.first(F.struct((F.col("low") - spread * gap).alias("low"), (F.col("high") + spread * gap).alias("high"), "n")))
     fences = fences.select(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")).alias("group"), *(F.col(c).alias(f"fence_{c}") for c in UPPER | BOTH))
     rows = lookup(slim.withColumn("group", F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))), cut(fences, "quality-fences"), "group", F.xxhash64("doc_id"))
     inside = F.lit(True)
@@ -127,10 +130,15 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, least_rows: int = 200, e
     for c in BOTH:
         inside = inside & (F.col(c) >= F.col(f"fence_{c}.low"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source")
-
-
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that quality_rules keeps; columns as they are. A document with several rows goes if all of them fail."""
-    rejected = quality_rules(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gm_id"))
-    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("_gm_id")), "left_anti")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce(F.col("fence_word_length.n") / (F.col("fence_word_length.n") + weight), F.lit(0.0)).alias("group_weight"), "lang", "source", "key")
+
+
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that quality_rules keeps; columns as they are. Rows are told apart by id, language, source and a hash of the text, so repeated ids are judged row by row."""
+    judged = quality_rules(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, **options)
+    gone = judged.where("not kept").select(*(F.col(c).alias(f"_gm_{c}") for c in ("doc_id", "lang", "source", "key"))).distinct()
+    mine = {"_gm_doc_id": F.col(id_col), "_gm_lang": F.col(lang_col).cast("string"), "_gm_source": F.col(source_col).cast("string"), "_gm_key": F.xxhash64(text_col)}
+    on = F.lit(True)
+    for name, value in mine.items():
+        on = on & value.eqNullSafe(gone[name])
+    return docs.join(gone, on, "left_anti")
