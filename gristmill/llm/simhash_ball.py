@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut
+from .common import bounded_batches, components, cut, kind, one_of_each
 
 #: Fingerprints link at this many differing bits or fewer.
 RADIUS = 3
@@ -41,14 +41,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def _print_batches(batches):
     for b in batches:
-        prints = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(x) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) per row of docs."""
+    """doc_id, key (a hash of the text), fp (the fingerprint's bits as a signed long) per row of docs."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_print_batches, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_print_batches, f"doc_id {kind(docs, id_col)}, key long, fp long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -181,29 +182,40 @@ def links(fps: DataFrame, bucket_pairs: int = 1 << 20) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, fp.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, fp, root (the component's smallest fp), key.
 
     component_id is the smallest id that is reachable over links of fingerprints at 3 or fewer differing bits. Null,
     empty and wordless texts have the fingerprint 0, which links like any other. Equal fingerprints are one node, so
-    copies cost one ball. Null ids are no one's smallest id, unless all ids of a component are null. An empty table
-    gives no rows.
+    copies cost one ball. Null ids are no one's smallest id, unless all ids of a component are null. Ids keep their
+    type, one that can be ordered. Repeated rows each have a row. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col), "ball-prints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "ball-nodes")
     roots = components(links(nodes.select("fp")), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(groups, "root").select("fp", "component_id"), "ball-named")
+    named = cut(rooted.join(groups, "root").select("fp", "component_id", "root"), "ball-named")
     out = prints.join(named, "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", "root", "key")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays, that with the smallest id; columns as they are.
 
-    An id goes if none of its rows is the one that stays, so repeated rows of one id stay or go together. Rows without
-    an id stay.
+    Rows are told apart by id and a hash of their text. Rows without an id come last; of rows of one id in a group one
+    stays, the one of the least hash, and of repeated rows one.
     """
-    found = near_groups(docs, id_col, text_col).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gm_id")), "ball-gone")
-    return docs.join(gone, docs[id_col] == F.col("_gm_id"), "left_anti")
+    found = cut(near_groups(docs, id_col, text_col).select("root", "doc_id", "key"), "ball-rows")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keep"))
+    stay = cut(first.select(F.col("keep.doc_id").alias("_gm_id"), F.col("keep.key").alias("_gm_key")), "ball-stay")
+    each = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["_gm_id"]) & (a["key"] == b["_gm_key"])
+    gone = each.join(stay, same(each, stay), "left_anti").select(F.col("doc_id").alias("_gm_id"), F.col("key").alias("_gm_key"))
+    here = lambda b: docs[id_col].eqNullSafe(b["_gm_id"]) & (F.xxhash64(docs[text_col]) == b["_gm_key"])
+    gone = cut(gone, "ball-gone")
+    out = docs.join(gone, here(gone), "left_anti")
+    again = cut(each.where("n > 1").select(F.col("doc_id").alias("_gm_id"), F.col("key").alias("_gm_key")), "ball-again")
+    if again.isEmpty():
+        return out
+    once = one_of_each(out.join(again, here(again), "left_semi"), [F.col(id_col), F.xxhash64(text_col)], F.char_length(F.coalesce(text_col, F.lit(""))))
+    return out.join(again, here(again), "left_anti").unionByName(once)
