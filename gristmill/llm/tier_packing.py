@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kind
 from .tokens import tokenizer
 
 #: Context sizes of the tiers, each a power of two.
 TIERS = (256, 512, 1024, 2048)
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
+SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -100,8 +100,8 @@ def step_groups(sizes: list[int], tokens: int) -> list[int]:
 class _Unit:
     """Documents packed together: as many as come until the unit has its number of tokens."""
 
-    def __init__(self, number: int, step_tokens: int):
-        self.number, self.step_tokens, self.sequences, self.groups = number, step_tokens, 0, 0
+    def __init__(self, number: int, step_tokens: int, id_type: pa.DataType):
+        self.number, self.step_tokens, self.id_type, self.sequences, self.groups = number, step_tokens, id_type, 0, 0
         self.clear()
 
     def clear(self) -> None:
@@ -129,17 +129,18 @@ class _Unit:
         self.sequences += len(windows)
         self.groups += max(groups, default=-1) + 1
         self.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 7 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, self.id_type if k == 0 else pa.int32() if k == 7 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def _pack_batches(batches, path: str, end_id: int, unit_tokens: int, step_tokens: int):
-    tok, unit, end = tokenizer(path), _Unit(TaskContext.get().partitionId(), step_tokens), np.array([end_id], "<u2")
+    tok, unit, end = tokenizer(path), None, np.array([end_id], "<u2")
     for b in batches:
+        unit = unit or _Unit(TaskContext.get().partitionId(), step_tokens, b.schema[0].type)
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
             unit.add(doc_id, np.concatenate((tok.ids(text.as_py()), end)))
             if unit.tokens >= unit_tokens:
                 yield unit.flush()
-    if unit.docs:
+    if unit and unit.docs:
         yield unit.flush()
 
 
@@ -150,8 +151,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, unit_tokens: int
     of tokens: no shuffle, and no task holds more than a unit. Every sequence has as many tokens as its window, a power
     of two, so nothing is padded. Sequences of a step group have step_tokens tokens in all, but for each unit's last
     group. sequence_id and step_group number the task's partition in their high bits; a task that runs again on the
-    same input gives the same rows. Repeated rows are documents of their own. An empty table gives no rows.
+    same input gives the same rows. Ids keep their type. Repeated rows are documents of their own. An empty table gives no
+    rows.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_pack_batches, path=path, end_id=end_id, unit_tokens=unit_tokens, step_tokens=step_tokens), SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(partial(_pack_batches, path=path, end_id=end_id, unit_tokens=unit_tokens, step_tokens=step_tokens), SCHEMA.format(kind(docs, id_col)))
