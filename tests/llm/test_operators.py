@@ -523,3 +523,32 @@ def test_toxicity_held_out_and_gapped(spark, docs, empty):
     assert toxicity.unpacked(toxicity.train(docs, labels))[0].shape == (toxicity.N_CODES,)
     none = toxicity.train(empty, labels.limit(0))
     assert toxicity.toxicity_scores(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("edit", ["letter", "word", "tenth"])
+def test_line_recall_by_length(spark, edit):
+    """Pairs of an edit similarity of 0.8 or more end in one group, 0.9 of them at least in each class of length."""
+    rng = random.Random(9)
+    letters = "abcdefghilmnoprstu"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    classes, lines, pairs = [(5, 9), (10, 19), (20, 39), (40, 79), (80, 160)], [], []
+    for c, (low, high) in enumerate(classes):
+        for _ in range(60):
+            ws = [word() for _ in range(rng.randint(low, high))]
+            new = list(ws)
+            if edit == "letter":
+                k = rng.randrange(len(ws))
+                new[k] = new[k][:-1] + rng.choice(letters.replace(new[k][-1], ""))
+            else:
+                for k in rng.sample(range(len(ws)), 1 if edit == "word" else max(1, len(ws) // 10)):
+                    new[k] = word()
+            a, b = " ".join(ws), " ".join(new)
+            if a != b and line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
+                pairs.append((c, len(lines), len(lines) + 1))
+                lines += [a, b]
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
+    gone = {r.doc_id for r in out.collect() if r.n_dropped}
+    for c in range(len(classes)):
+        own = [b in gone for k, _, b in pairs if k == c]
+        assert len(own) > 20 and sum(own) >= 0.9 * len(own), (classes[c], sum(own), len(own))
+    assert not gone & {a for _, a, _ in pairs}
