@@ -8,9 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Class lists are collected to the driver as one array; a column with more values than this is no class label.
-MOST_CLASSES = 1000
-
 
 def _tokens(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_']+)"))
@@ -25,17 +22,15 @@ def nb_predict(train: DataFrame, rows: DataFrame, key: str, text: str, label: st
     The sum over all tokens is split: seen tokens are joined, what unseen ones add follows from the number of tokens.
     """
     known = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), _tokens(text).alias("t")).where("size(t) > 0")
-    classes = known.groupBy("label").agg(F.count("*").alias("docs"), F.sum(F.size("t")).alias("total")).limit(MOST_CLASSES + 1).collect()
-    if len(classes) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
-    if len(classes) < 2:
+    classes = known.groupBy("label").agg(F.count("*").alias("docs"), F.sum(F.size("t")).alias("total"))
+    if classes.limit(2).count() < 2:
         return rows.select(key, F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("confidence"))
     counts = known.select("label", F.explode("t").alias("token")).groupBy("label", "token").agg(F.count("*").alias("c"))
-    docs = sum(c["docs"] for c in classes)
-    vocabulary = counts.select("token").distinct().count()
-    heads = F.array(*[F.struct(F.lit(c["label"]).alias("label"), F.log(F.lit(c["docs"] / docs)).alias("prior"), F.log(F.lit(float(c["total"] + vocabulary))).alias("denominator")) for c in classes])
+    whole = classes.agg(F.collect_list(F.struct("label", "docs", "total")).alias("classes"), F.sum("docs").alias("all")).join(counts.agg(F.count_distinct("token").alias("v")))
+    head = lambda c: F.struct(c["label"].alias("label"), F.log(c["docs"] / F.col("all")).alias("prior"), F.log((c["total"] + F.col("v")).cast("double")).alias("denominator"))
+    heads = whole.select(F.transform("classes", head).alias("heads"))  # one row; every text is scored for every class
     texts = rows.select(F.col(key), _tokens(text).alias("t"))
-    base = texts.select(key, F.size("t").alias("n"), F.explode(heads).alias("h")).select(key, "h.label", (F.col("h.prior") - F.col("n") * F.col("h.denominator")).alias("s"))
+    base = texts.join(F.broadcast(heads)).select(key, F.size("t").alias("n"), F.explode("heads").alias("h")).select(key, "h.label", (F.col("h.prior") - F.col("n") * F.col("h.denominator")).alias("s"))
     words = texts.select(key, F.explode("t").alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     seen = words.join(counts, "token").select(key, "label", (F.col("n") * F.log(F.col("c") + 1)).alias("s"))
     scores = base.unionByName(seen).groupBy(key, "label").agg(F.sum("s").alias("s"))
