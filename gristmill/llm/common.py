@@ -44,11 +44,14 @@ def cut(df: DataFrame, label: str, **options) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove work tables from which all that is needed has been written."""
+    """Remove work tables from which all that is needed has been written; shuffle files go as well, once the driver has
+    forgotten the plans that they belong to."""
     for t in tables:
         spark = t.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._gm_path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20) -> None:
@@ -108,7 +111,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, most: int =
     return dealt.join(other, on, "left").drop("_gm_key", "_gm_copy", "_gm_salt")
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, parts: int = 4096, most: int = 100_000) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, parts: int = 4096, most: int = 500_000) -> DataFrame:
     """Inner join of big with small on a key that small has once; count says how many rows of big have it.
 
     Up to `most` rows of small are broadcast. Beyond that, keys with more than a share of 1 / parts of the counted rows,
