@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .catalog import _CHAT, _FIRST, _ISSUES, _NB, _STRIP, _TOKENS, WS, labelled, query, table
 from .functions.text import split_words
+from .functions.work import work_dir
 from .operators import analysis, dedup, generate, metrics, records
 from .plans.curate import CurateConfig, curate
-from .plans.pipeline import PipelineConfig, Run, prepare, profile_records
+from .plans.pipeline import PipelineConfig, Run, prepare, profile_records, read_records
 from .providers.offline import HashedNgrams, OfflineProvider
 from .sources import files
 
@@ -284,3 +287,14 @@ def token_counts(spark, sf_dir):
 @query(f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> '')) AS words FROM documents")
 def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(split_words(F.coalesce("text", F.lit("")))).cast("long").alias("words"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, doc_id::VARCHAR AS id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def input_order(spark, sf_dir):
+    """documents as JSON lines in folders of 1, 2, 4, ... rows, read back in their order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    placed = analysis.positions(docs, "doc_id", "place").withColumn("part", F.lpad(F.floor(F.log2(F.col("place") + 1)).cast("string"), 3, "0"))
+    path = f"{work_dir(spark)}/input-order-{uuid.uuid4().hex}.jsonl"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(tasks, "place").sortWithinPartitions("place").select("part", F.col("doc_id").cast("string").alias("id"), "text").write.partitionBy("part").json(path)
+    return read_records(spark, path).select(F.col("_ord").alias("place"), "id", F.md5("text").alias("text_md5"))

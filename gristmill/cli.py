@@ -98,7 +98,7 @@ def report(spark, a):
 
 def optimize(spark, a):
     names = {k: getattr(a, k) for k in ("quality_mode", "dedup_method", "classification", "accuracy_contract", "provider")}
-    config = pipeline.PipelineConfig(**names, scrub_pii=not a.no_pii, report_html=a.report_html, metrics_text=a.metrics)
+    config = pipeline.PipelineConfig(**names, scrub_pii=not a.no_pii, report_html=a.report_html, metrics_text=a.metrics, requests_per_minute=a.per_minute or None)
     return pipeline.run_file(spark, a.input, a.output, config).report
 
 
@@ -163,9 +163,9 @@ def generate_(spark, a):
 
 
 def shard(spark, a):
-    rows = files.read_dataset(spark, a.input)
+    rows = files.read_dataset(spark, a.input, number="_gm_order")
     label = next((k for k in records.LABEL_KEYS if k in rows.columns), None)
-    return {"partitions": files.partition_files(rows, a.output, a.n, None if a.plain else label)}
+    return {"partitions": files.partition_files(rows, a.output, a.n, None if a.plain else label, "_gm_order")}
 
 
 def merge(spark, a):
@@ -230,7 +230,7 @@ def _parser() -> argparse.ArgumentParser:
     add("stats", stats, "input", provider="offline")
     add("report", report, *io, provider="offline")
     for name in ("optimize", "pipeline"):
-        add(name, optimize, *io, provider="offline", quality_mode="llm", dedup_method="auto", classification="auto", accuracy_contract="balanced", no_pii=False, report_html=False, metrics=False)
+        add(name, optimize, *io, provider="offline", quality_mode="llm", dedup_method="auto", classification="auto", accuracy_contract="balanced", no_pii=False, report_html=False, metrics=False, per_minute=0)
     add("synthesize", synthesize, *io, provider="offline", pairs=10)
     add("export", export, *io)
     add("scrub", scrub, *io, mode="all")

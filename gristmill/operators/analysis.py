@@ -47,23 +47,23 @@ def representative_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     return df.join(F.broadcast(chosen), df[order] == chosen["_order"], "left_semi")
 
 
-def stratified_shard(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
-    """df with shard: rows of each label take the shards in turn."""
-    return df.join(label_positions(df, label, order).select(F.col(order).alias("_o"), "_pos"), F.col(order) == F.col("_o")).withColumn("shard", F.pmod("_pos", F.lit(n)).cast("int")).drop("_o", "_pos")
+def stratified_shard(df: DataFrame, label: str, order: str, n: int, name: str = "shard") -> DataFrame:
+    """df with the shard of each row: rows of each label take the shards in turn, by order (nulls first, of equal ones any first); a null label is one."""
+    return label_positions(df, label, order, name).withColumn(name, F.pmod(name, F.lit(n)).cast("int"))
 
 
-def label_positions(df: DataFrame, label: str, order: str) -> DataFrame:
-    """order and _pos: a row's place among the rows of its label (null is one) by order. Ranges of (label, order) are ranked
-    apart and each label's own rows in the ranges before are added, so a label that most rows have is no hot key."""
+def label_positions(df: DataFrame, label: str, order: str, name: str) -> DataFrame:
+    """df with a row's place, from 0, among the rows of its label (null is one) by order (nulls first). Ranges of (label, order) are
+    ranked apart and each label's own rows in the ranges before are added, so a label that most rows have is no hot key."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(order), F.col(label).cast("string").alias("_label"))
-    placed = rows.repartitionByRange(parts, "_label", order).sortWithinPartitions("_label", order)
-    placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "labels")
-    counts = placed.groupBy("_label", "_part").agg(F.count("*").alias("n"), F.min("_row").alias("_least"))  # few rows: a label's ranges are neighbours
-    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("_label").alias("_l"), F.col("_part").alias("_p"), "_least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    here = placed.join(starts, placed["_label"].eqNullSafe(starts["_l"]) & (placed["_part"] == starts["_p"]))
-    return here.select(order, (F.col("_row") - F.col("_least") + F.col("_start")).alias("_pos"))
+    rows = df.withColumn("_gm_label", F.col(label).cast("string"))
+    ranged = rows.repartitionByRange(parts, "_gm_label", order).sortWithinPartitions("_gm_label", order)
+    placed = cut(ranged.withColumns({"_gm_part": F.spark_partition_id(), "_gm_row": F.monotonically_increasing_id()}), "labels")
+    counts = placed.groupBy("_gm_label", "_gm_part").agg(F.count("*").alias("n"), F.min("_gm_row").alias("least"))  # few rows: a label's ranges are neighbours
+    before = Window.partitionBy("_gm_label").orderBy("_gm_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_gm_label").alias("_gm_l"), F.col("_gm_part").alias("_gm_p"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("_gm_start"))
+    here = placed.join(starts, placed["_gm_label"].eqNullSafe(starts["_gm_l"]) & (placed["_gm_part"] == starts["_gm_p"]))
+    return here.select(*(placed[c] for c in df.columns), (F.col("_gm_row") + F.col("_gm_start")).alias(name))
 
 
 def stratified_cap(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
@@ -73,14 +73,17 @@ def stratified_cap(df: DataFrame, label: str, key: str, per_label: int) -> DataF
 
 
 def balanced_cap(df: DataFrame, label: str, key: str, limit: int) -> DataFrame:
-    """At most `limit` rows: each label has the same quota, and the first labels one more where it doesn't divide; all rows if they are that few."""
+    """At most `limit` rows: each label (null is one, the first) has the same quota, and the first labels one more where it
+    doesn't divide; all rows if they are that few."""
     if df.count() <= limit:
         return df
-    labels = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
-    each, more = divmod(limit, len(labels))
+    labels = df.select(F.col(label).cast("string").alias("_gm_l")).distinct()
+    each, more = divmod(limit, labels.count())
+    favoured = labels.orderBy(F.col("_gm_l").asc_nulls_first()).limit(more).withColumn("_gm_more", F.lit(1))  # fewer than limit
     by = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    quota = F.when(F.col(label).cast("string").isin(labels[:more]), each + 1).otherwise(each) if more else F.lit(each)
-    return df.withColumn("_n", F.row_number().over(by)).where((F.col("_n") <= each + 1) & (F.col("_n") <= quota)).drop("_n")
+    ranked = df.withColumn("_gm_n", F.row_number().over(by)).where(F.col("_gm_n") <= each + 1)  # a rank limit, applied below the shuffle too
+    quota = each + F.coalesce("_gm_more", F.lit(0))
+    return ranked.join(favoured, F.col(label).cast("string").eqNullSafe(F.col("_gm_l")), "left").where(F.col("_gm_n") <= quota).select(*(ranked[c] for c in df.columns))
 
 
 def hygiene(df: DataFrame, content: str, label: str) -> DataFrame:

@@ -19,6 +19,7 @@ def nb_predict(train: DataFrame, rows: DataFrame, key: str, text: str, label: st
     Tokens never seen in a class count there with one over its denominator. Rows of train without a label or without a
     token are skipped; rows without a token get the most frequent class; of equal scores the smallest label wins; with
     fewer than two classes every prediction is null with confidence 0.
+    Rows of one key are one text: key must be unique for a prediction per row; a null key is one as well.
     The sum over all tokens is split: seen tokens are joined, what unseen ones add follows from the number of tokens.
     """
     known = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), _tokens(text).alias("t")).where("size(t) > 0")

@@ -103,8 +103,11 @@ def perplexity(df: DataFrame, key: str, text: str, train: DataFrame | None = Non
 
 
 def perplexity_filter(df: DataFrame, key: str, text: str, most: float, train: DataFrame | None = None) -> DataFrame:
-    """df with perplexity and kept: it is `most` or less."""
-    return df.join(perplexity(df, key, text, train), key).withColumn("kept", F.col("perplexity") <= most)
+    """df with perplexity (infinite for fewer than two tokens) and kept: it is `most` or less. Rows are scored each on their own, whatever their keys."""
+    rows = cut(df.withColumn("_gm_row", F.monotonically_increasing_id()), "perplexity")
+    found = perplexity(rows, "_gm_row", text, train).withColumnsRenamed({"_gm_row": "_gm_r", "perplexity": "_gm_p"})
+    out = rows.join(found, rows["_gm_row"] == found["_gm_r"])
+    return out.select(*(rows[c] for c in df.columns if c != "perplexity"), F.col("_gm_p").alias("perplexity"), (F.col("_gm_p") <= most).alias("kept"))
 
 
 def defect_breakdown(outcome: DataFrame, category: str, stage: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +17,14 @@ from ..functions.text import IDENTIFIERS, PII, redact, strip
 from ..functions.work import cut
 from ..operators import analysis, dedup, generate, records
 from ..plugins import recogniser_patterns, validator_errors
-from ..providers.base import Embedder, Provider, create_provider
+from ..providers.base import Calls, Embedder, Provider, create_provider
 from ..providers.offline import HashedNgrams
 from ..report import html_report, metrics_text, summarise
 from ..sources import files
 
 STAGES = ("validate", "pii", "profile", "dedup", "score_refine", "filter", "classify")
+#: Reasons that a report spells out; all others are one number there, and a table (RunResult.reason_counts).
+MOST_REASONS = 10_000
 DEDUP = ("auto", "off", "exact", "minhash", "semantic", "semantic-local")
 
 
@@ -52,6 +54,8 @@ class PipelineConfig:
     metrics_text: bool = False
     validators: tuple[str, ...] = ()
     recognisers: tuple[str, ...] = ()
+    requests_per_minute: int | None = None  # of all tasks together; None: no limit
+    tasks_at_once: int = 8  # that call the provider, under such a limit
 
     def __post_init__(self):
         known = {"quality_mode": ("llm", "sampled", "off"), "dedup_method": DEDUP, "classification": ("auto", "off", *generate.LEAST_CLASSES), "classification_pii_mode": ("identifiers", "all", "off"), "accuracy_contract": ("balanced", "strict"), "refine_mode": ("all", "prompt_only", "response_only"), "network_policy": ("unrestricted", "local", "strict")}
@@ -82,6 +86,11 @@ class RunResult:
     def rejected(self) -> DataFrame:
         return self.rows.where("stage is not null")
 
+    @property
+    def reason_counts(self) -> DataFrame:
+        """reason, n of all rejected rows: whole, where rejection_reasons sums up what is beyond its most frequent ones."""
+        return reason_counts(self.rows)
+
     @property
     def report(self) -> dict:
         return {"profile": self.profile, "metrics": self.metrics, "rejection_reasons": self.rejection_reasons}
@@ -107,6 +116,7 @@ class Run:
         self.config = config
         self.provider = provider or create_provider(config.provider, config.model, config.base_url, config.network_policy)
         self.embedder = embedder or HashedNgrams()
+        self.calls = Calls(config.requests_per_minute, config.tasks_at_once)
 
     def _strict(self, rows: DataFrame) -> tuple[bool, bool]:
         """Whether all live rows (there are some) have labels, and whether the strict contract therefore holds."""
@@ -167,10 +177,10 @@ class Run:
         gone = _live() & ~F.coalesce("keep", F.lit(True))
         return out.withColumns({"reason": F.when(gone, F.col("why")).otherwise(F.col("reason")), "stage": F.when(gone, "dedup").otherwise(F.col("stage"))}).drop("keep", "why")
 
-    def _audited(self, rows: DataFrame, state: dict) -> DataFrame:
+    def _audited(self, rows: DataFrame, state: dict, name: str = "score") -> DataFrame:
         views = rows.select("_ord", F.col("prompt_text").alias("prompt"), F.col("response_text").alias("response"), "classify_text", "content")
         p = state.get("profile") or {}
-        return generate.audit(views, "_ord", self.provider, self.config.quality_audit_batch_size, p.get("task_type"), p.get("classes"))
+        return generate.audit(views, "_ord", self.provider, self.config.quality_audit_batch_size, p.get("task_type"), p.get("classes"), calls=self.calls.kept_in(name))
 
     def score_refine(self, rows: DataFrame, state: dict) -> DataFrame:
         strict = self._strict(rows)[1]
@@ -192,11 +202,11 @@ class Run:
         n = low.count()
         if n:
             views = low.select("_ord", F.col("prompt_text").alias("prompt"), F.col("response_text").alias("response"))
-            new = generate.refine(views, "_ord", self.provider, self.config.refine_mode).select("_ord", F.col("prompt").alias("_p"), F.col("response").alias("_r"), F.col("refined").alias("_done"))
+            new = generate.refine(views, "_ord", self.provider, self.config.refine_mode, calls=self.calls.kept_in("refine")).select("_ord", F.col("prompt").alias("_p"), F.col("response").alias("_r"), F.col("refined").alias("_done"))
             joined = low.join(new, "_ord")
             done = records.update_content(joined.where("_done"), "_p", "_r").withColumn("refined", F.lit(True)).unionByName(joined.where("not _done"))
             done = cut(records.with_views(done.drop("_p", "_r", "_done", "prompt_text", "response_text", "classify_text", "content")), "refined")
-            again = done.drop(*names).join(self._audited(done, state), "_ord")
+            again = done.drop(*names).join(self._audited(done, state, "rescore"), "_ord")
             scored = scored.join(low.select("_ord"), "_ord", "left_anti").unionByName(again)
         average = scores.where("scoring_error is null").agg(F.avg("overall_score")).first()[0]
         state["metrics"]["stages"]["score_refine"] = {"mode": "llm", "scored": scores.count(), "refined": n, "average_overall_score": average}
@@ -233,7 +243,7 @@ class Run:
         state["metrics"]["stages"]["classify"] = {"action": action, "task_type": shown["task_type"] if schema else None, "classes": shown["classes"], "confidence": shown["confidence"]}
         if action != "classified":
             return rows
-        found = generate.classify(rows.where(_live()).select("_ord", "classify_text"), "_ord", "classify_text", self.provider, schema["task_type"], schema["classes"])
+        found = generate.classify(rows.where(_live()).select("_ord", "classify_text"), "_ord", "classify_text", self.provider, schema["task_type"], schema["classes"], calls=self.calls.kept_in("classify"))
         found = cut(found.withColumnsRenamed({"labels": "_labels", "item_confidence": "_sure"}), "classified")
         out = rows.join(found, "_ord", "left")
         failed, done = F.col("classification_error").isNotNull(), F.col("_labels").isNotNull()
@@ -247,8 +257,10 @@ class Run:
         }).select(*rows.columns)
 
     def run(self, rows: DataFrame, folder: str | None = None, fingerprint: str | None = None) -> RunResult:
-        """All stages over prepared rows. With a folder, whole stages found there under the same fingerprint are not done again."""
+        """All stages over prepared rows. With a folder, whole stages found there under the same fingerprint are not done
+        again, and of a stage that was stopped no record that the provider has answered for is asked again."""
         spark = rows.sparkSession
+        self.calls = replace(self.calls, ledger=f"{folder}/answers" if folder else None)
         state = {"fingerprint": fingerprint, "completed": [], "profile": None, "metrics": {"stages": {}}}
         if folder and (text := files.read_text(spark, f"{folder}/state.json")):
             state = json.loads(text)
@@ -276,12 +288,20 @@ class Run:
             state["completed"].append(name)
             if folder:
                 files.write_text(spark, f"{folder}/state.json", json.dumps(state))
-        counts = {r["reason"]: r["n"] for r in rows.where(~_live()).groupBy(F.concat_ws(": ", "stage", "reason").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(10_000).collect()}
+        every = reason_counts(rows)
+        counts = {r["reason"]: r["n"] for r in every.orderBy(F.desc("n"), "reason").limit(MOST_REASONS).collect()}
+        if rest := (every.agg(F.sum("n")).first()[0] or 0) - sum(counts.values()):
+            counts["other reasons"] = rest
         last = state["metrics"]["stages"][STAGES[-1]]["accepted"]
         state["metrics"] |= {"accepted_records": last, "rejected_records": state["metrics"]["input_records"] - last, "accuracy_contract": self.config.accuracy_contract, "network_policy": self.config.network_policy, "provider": self.provider.name, "model": self.provider.model, "usage": dict(getattr(self.provider, "usage", {}))}
         return RunResult(rows, state["profile"], state["metrics"], counts)
 
 
+def reason_counts(rows: DataFrame) -> DataFrame:
+    """reason ("stage: reason"), n of rejected rows."""
+    return rows.where(~_live()).groupBy(F.concat_ws(": ", "stage", "reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
 def final_reason(least: float) -> Column:
     """Why a scored record doesn't pass, in this order: scoring failed, no score, unsafe, too low; null if it passes."""
     low = F.format_string(f"Final quality score %.2f is below {least:.2f}.", F.col("overall_score"))
@@ -323,28 +343,20 @@ def profile_records(rows: DataFrame, provider: Provider, sample: int = 100, most
 
 
 def input_fingerprint(spark: SparkSession, path: str, config: PipelineConfig) -> str:
-    """A digest of the input's files (names, sizes, times of change; not their bytes, which may be many TB) and of the configuration."""
+    """A digest of the input's files (names, sizes, times of change; not their bytes, which may be many TB) and of the
+    configuration, but for the rate of calls, which a run that goes on may change."""
     root, fs = files._fs(spark, path)
     listed, found = fs.listFiles(root, True), []
     while listed.hasNext():
         s = listed.next()
         found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-    return hashlib.sha256(json.dumps([sorted(found), asdict(config)]).encode()).hexdigest()
-
-
-def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A dataset as rows of the record schema with _ord, their place in the input."""
-    lines = files.read_lines(spark, path, fmt)
-    if lines is None:
-        df = files.read_dataset(spark, path, fmt=fmt)
-        lines = df.select(F.to_json(F.struct(*(f"`{c}`" for c in df.columns)), {"ignoreNullFields": "false"}).alias("value"))
-    return with_order(lines)
+    settings = {k: v for k, v in asdict(config).items() if k not in ("requests_per_minute", "tasks_at_once")}
+    return hashlib.sha256(json.dumps([sorted(found), settings]).encode()).hexdigest()
 
 
-def with_order(lines: DataFrame) -> DataFrame:
-    """Records of lines with _ord, kept with them in a work table so that it stays what it is."""
-    placed = cut(lines.withColumn("_ord", F.monotonically_increasing_id()), "lines")
-    return records.from_lines(placed, "value", keep=("_ord",))
+def read_records(spark: SparkSession, path: str | list[str], fmt: str | None = None) -> DataFrame:
+    """A dataset as rows of the record schema with _ord, their place in the input: from 0, by argument, file and row."""
+    return records.from_lines(files.numbered(files.placed_lines(spark, path, fmt)), "value", keep=("_ord",))
 
 
 def run_file(spark: SparkSession, source: str, target: str, config: PipelineConfig = PipelineConfig(), provider: Provider | None = None, fmt: str | None = None) -> RunResult:

@@ -8,21 +8,28 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import cut
+
 #: Suffixes and the container they stand for.
 SUFFIXES = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "yaml": "yaml", "yml": "yaml", "parquet": "parquet", "pq": "parquet", "arrow": "arrow", "feather": "arrow", "ipc": "arrow", "csv": "csv", "tsv": "tsv", "txt": "txt"}
 #: Containers that Spark compresses as whole files.
 GZIPPED = ("jsonl", "json", "yaml", "csv", "tsv", "txt")
 #: The column of the split that a record of a split container came from.
 SPLIT = "split"
+#: Columns of a row's place in the input: the argument's number, the file, the start of the block that was read, the row in it.
+PLACE = ("_gm_arg", "_gm_file", "_gm_block", "_gm_at")
+#: Blocks whose counts are broadcast, at most.
+BLOCKS = 200_000
 
 
 def path_format(path: str) -> str:
@@ -55,26 +62,32 @@ def container_rows(data) -> list[dict]:
     return rows
 
 
-def json_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """Lines of JSON objects without blank ones; a line that is no object ends the job. Arrays are no records."""
+def json_lines(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of JSON objects without blank ones, with the columns to keep; a line that is no object ends the job. Arrays are no records."""
     kept = df.where(F.trim(F.translate(value, "\t\r\n", "   ")) != "").withColumn("_v", F.try_parse_json(value))
     kind = F.schema_of_variant("_v")
     bad = F.col("_v").isNull() | ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
     message = F.concat(F.lit("NDJSON row must be an object: "), F.left(value, F.lit(80)))
-    return kept.select(F.when(bad, F.raise_error(message)).otherwise(F.col(value)).alias("value"))
+    return kept.select(F.when(bad, F.raise_error(message)).otherwise(F.col(value)).alias("value"), *keep)
 
 
-def typed(lines: DataFrame) -> DataFrame:
-    """JSON lines as columns, whose types are those that hold all lines: whole numbers, floats, text where they differ."""
+def typed(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines as columns, whose types are those that hold all lines: whole numbers, floats, text where they differ; and the columns to keep."""
     found = lines.select(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"]
     if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
-        return lines.sparkSession.createDataFrame([], "text string")
+        return lines.select(F.lit(None).cast("string").alias("text"), *keep).where(F.lit(False))
     ddl = re.sub(r"DECIMAL\(\d+, ?\d+\)|FLOAT", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", found.replace("OBJECT<", "STRUCT<")))
-    return lines.select(F.from_json("value", ddl).alias("r")).select("r.*")
+    return lines.select(F.from_json("value", ddl).alias("r"), *keep).select("r.*", *keep)
+
+
+def _line_batch(rows: list[dict], path: str, first: int) -> pa.RecordBatch:
+    """value, file and place of some records of a file."""
+    lines = pa.array([json.dumps(x, ensure_ascii=False, default=str) for x in rows], pa.string())
+    return pa.RecordBatch.from_arrays([lines, pa.array([path] * len(rows), pa.string()), pa.array(range(first, first + len(rows)), pa.int64())], names=["value", "_gm_file", "_gm_at"])
 
 
 def _documents(batches, kind: str) -> Iterator[pa.RecordBatch]:
-    """value: a JSON line for each record of whole JSON or YAML files."""
+    """value: a JSON line for each record of whole JSON or YAML files, with its place."""
     import gzip
 
     for b in batches:
@@ -88,7 +101,7 @@ def _documents(batches, kind: str) -> Iterator[pa.RecordBatch]:
                 value = json.loads(text)
             rows = container_rows(value)
             for k in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(x, ensure_ascii=False, default=str) for x in rows[k : k + 1000]], pa.string())], names=["value"])
+                yield _line_batch(rows[k : k + 1000], path, k)
 
 
 def _arrow_batches(data: bytes) -> Iterator[pa.RecordBatch]:
@@ -104,11 +117,12 @@ def _arrow_batches(data: bytes) -> Iterator[pa.RecordBatch]:
 def _arrow_lines(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            split = path.rstrip("/").split("/")[-2] if "/dataset_dict/" in path else None
+            split, done = path.rstrip("/").split("/")[-2] if "/dataset_dict/" in path else None, 0
             for part in _arrow_batches(data):
                 rows = [x if split is None else x | {SPLIT: split} for x in part.to_pylist()]
                 for k in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(x, ensure_ascii=False, default=str) for x in rows[k : k + 1000]], pa.string())], names=["value"])
+                    yield _line_batch(rows[k : k + 1000], path, done + k)
+                done += len(rows)
 
 
 def _whole(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -118,42 +132,87 @@ def _whole(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return reader.load(path).select("path", "content")
 
 
+def read_placed(spark: SparkSession, path: str, fmt: str | None = None, arg: int = 0) -> tuple[DataFrame, bool]:
+    """The rows of a file or folder with their PLACE, and whether they are JSON lines in column value (else typed columns).
+
+    Spark reads the blocks of files in an order of its own, by size; PLACE tells the order of files (by path) and of rows in
+    them. All rows of a block come from one task and are counted there, after blank lines are left out.
+    """
+    kind = fmt or path_format(path)
+    at = F.monotonically_increasing_id().alias("_gm_at")
+    block = [F.col("_metadata.file_path").alias("_gm_file"), F.col("_metadata.file_block_start").alias("_gm_block")]
+    if kind in ("json", "yaml", "arrow", "dataset"):
+        read = partial(_documents, kind=kind) if kind in ("json", "yaml") else _arrow_lines
+        rows = _whole(spark, path, "*.arrow" if kind == "dataset" else None).mapInArrow(read, "value string, _gm_file string, _gm_at long")
+        rows = rows.select("value", "_gm_file", F.lit(0).cast("long").alias("_gm_block"), "_gm_at")
+    elif kind == "jsonl":
+        rows = json_lines(spark.read.text(path).select("value", *block), keep=("_gm_file", "_gm_block")).select("*", at)
+    elif kind == "txt":
+        rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("text"), *block).where("text <> ''").select("*", at)
+    elif kind == "parquet":
+        rows = spark.read.parquet(path).select("*", *block).select("*", at)
+    else:
+        rows = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if kind == "tsv" else ",").select("*", *block).select("*", at)
+    return rows.withColumn("_gm_arg", F.lit(arg)), kind in ("jsonl", "json", "yaml", "arrow", "dataset")
+
+
 def read_lines(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame | None:
     """The records of a text container as JSON lines, one per row, in column value; None for parquet, csv, tsv and txt.
 
     Unlike typed columns, lines tell an absent key from a null, and each may have a format of its own (see records.from_lines).
     """
-    kind = fmt or path_format(path)
-    if kind == "jsonl":
-        return json_lines(spark.read.text(path))
-    if kind in ("json", "yaml"):
-        return _whole(spark, path).mapInArrow(partial(_documents, kind=kind), "value string")
-    if kind == "arrow":
-        return _whole(spark, path).mapInArrow(_arrow_lines, "value string")
-    if kind == "dataset":
-        return _whole(spark, path, "*.arrow").mapInArrow(_arrow_lines, "value string")
-    return None
+    rows, lines = read_placed(spark, path, fmt)
+    return rows.select("value") if lines else None
+
+
+def numbered(placed: DataFrame, name: str = "_ord") -> DataFrame:
+    """Placed rows numbered from 0 in the order of the input, in column `name` instead of PLACE.
+
+    Rows are written once, to a work table, so that their numbers stay what they are; a block's first number is the sum of
+    the counts of the blocks before it, so no rows are sorted or moved. Only blocks, a row for each, meet in one task.
+    """
+    rows = cut(placed, "placed")
+    blocks = rows.groupBy(*PLACE[:3]).agg(F.min("_gm_at").alias("_gm_first"), F.count("*").alias("_gm_n"))
+    before = Window.orderBy(*PLACE[:3]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(blocks.select(*PLACE[:3], (F.coalesce(F.sum("_gm_n").over(before), F.lit(0)) - F.col("_gm_first")).alias("_gm_start")), "blocks")
+    starts = F.broadcast(starts) if starts.count() <= BLOCKS else starts
+    return rows.join(starts, list(PLACE[:3])).withColumn(name, F.col("_gm_start") + F.col("_gm_at")).drop(*PLACE, "_gm_start")
+
+
+def first_rows(placed: DataFrame, n: int) -> DataFrame:
+    """The first n placed rows; each task keeps n at most."""
+    return placed.orderBy(*PLACE).limit(n)
+
+
+def as_lines(rows: DataFrame) -> DataFrame:
+    """Typed rows as JSON lines in column value; PLACE stays."""
+    names = [c for c in rows.columns if c not in PLACE]
+    return rows.select(F.to_json(F.struct(*(f"`{c}`" for c in names)), {"ignoreNullFields": "false"}).alias("value"), *PLACE)
+
+
+def placed_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = None) -> DataFrame:
+    """The records of one or several inputs, in the order of the arguments, as JSON lines with PLACE."""
+    out = None
+    for k, path in enumerate([paths] if isinstance(paths, str) else paths):
+        rows, lines = read_placed(spark, path, fmt, k)
+        rows = (rows if lines else as_lines(rows)).select("value", *PLACE)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def read_dataset(spark: SparkSession, path: str, max_rows: int | None = None, fmt: str | None = None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, max_rows: int | None = None, fmt: str | None = None, number: str | None = None) -> DataFrame:
     """The records of a file or folder on any file system that Spark reads, as typed columns.
 
     fmt "dataset" reads a folder of Arrow files; its subfolders, if it has a dataset_dict.json, are splits. max_rows takes
-    the first rows in the order of files and of rows in them.
+    the first rows in the order of files and of rows in them. number names a column for each row's place in this order, from 0.
     """
-    kind = fmt or path_format(path)
-    if kind == "parquet":
-        df = spark.read.parquet(path)
-    elif kind in ("csv", "tsv"):
-        df = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if kind == "tsv" else ",")
-    elif kind == "txt":
-        df = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("text")).where("text <> ''")
-    else:
-        df = typed(read_lines(spark, path, kind))
-    if max_rows is None:
-        return df
-    place = [F.col("_metadata.file_path"), F.monotonically_increasing_id()] if kind in ("parquet", "csv", "tsv") else [F.monotonically_increasing_id()]
-    return df.select("*", *(p.alias(f"_gm_{k}") for k, p in enumerate(place))).orderBy(*(f"_gm_{k}" for k in range(len(place)))).limit(max_rows).drop("_gm_0", "_gm_1")
+    rows, lines = read_placed(spark, path, fmt)
+    if max_rows is not None:
+        rows = first_rows(rows, max_rows)
+    keep = ()
+    if number:
+        rows, keep = numbered(rows, number), (number,)
+    return typed(rows, keep) if lines else rows.drop(*PLACE)
 
 
 def is_json_cell(cell: Column) -> Column:
@@ -289,10 +348,15 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
     root, fs = _fs(spark, path)
     if not fs.exists(root):
         raise FileNotFoundError(path)
+    local = fs.getUri().getScheme() == "file"
+    top = os.path.abspath(root.toUri().getPath())
+    if local and os.path.islink(top):
+        raise InputTooLarge(f"Input must contain only regular files: {path}")
     files, total = fs.listFiles(root, True), 0
     while files.hasNext():
         status = files.next()
-        if status.isSymlink():
+        own = status.getPath().toUri().getPath()
+        if status.isSymlink() or local and os.path.realpath(own) != os.path.join(os.path.realpath(top), os.path.relpath(own, top)).removesuffix("/."):
             raise InputTooLarge(f"Input must contain only regular files: {status.getPath()}")
         if status.getLen() > max_file_bytes:
             raise InputTooLarge(f"Input exceeds the configured file size limit: {status.getPath()}")
@@ -315,19 +379,20 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
 def partition_files(df: DataFrame, folder: str, n: int, label: str | None = None, order: str | None = None) -> list[int]:
     """Write df as up to n folders of JSON lines, partition=k; the numbers of those that have rows.
 
-    With a label, rows of each label take the partitions in turn, those without one like a label of their own; else all rows do.
+    With a label, rows of each label take the partitions in turn, those without one like a label of their own; else all
+    rows do. The order is that of the column `order` (see read_dataset's number); without one, it is as df's rows lie. An
+    order column of the name _gm_order is not written.
     """
     from ..operators.analysis import positions, stratified_shard
 
     if n < 1:
         raise ValueError("num_partitions must be at least 1")
-    order_col = order or "_gm_order"
     rows = df if order else df.withColumn("_gm_order", F.monotonically_increasing_id())
     if label:
-        dealt = stratified_shard(rows, label, order_col, n).withColumnRenamed("shard", "partition")
+        dealt = stratified_shard(rows, label, order or "_gm_order", n, "partition")
     else:
-        dealt = positions(rows, order_col, "_pos").withColumn("partition", F.pmod("_pos", F.lit(n)).cast("int")).drop("_pos")
-    dealt = dealt if order else dealt.drop("_gm_order")
+        dealt = positions(rows, order or "_gm_order", "partition").withColumn("partition", F.pmod("partition", F.lit(n)).cast("int"))
+    dealt = dealt.drop("_gm_order")
     spark = df.sparkSession
     dealt.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("partition").json(folder)
     root, fs = _fs(spark, folder)
@@ -339,12 +404,18 @@ def partition_files(df: DataFrame, folder: str, n: int, label: str | None = None
 
 def merge_files(spark: SparkSession, folders: list[str], target: str, fmt: str | None = None) -> dict:
     """Put the outputs of several runs together, with their rejected rows and reports (<path>.rejected.jsonl, <path>.report.json)
-    where they exist; the summary is written beside the target and returned."""
-    accepted = None
+    where they exist; the summary is written beside the target and returned. Rows are written in the order of the
+    arguments, of their files and of the rows in these, in ranges of it."""
     rejected, usage, reasons = None, {"input_tokens": 0, "output_tokens": 0, "total_tokens": 0}, {}
+    parts = [read_placed(spark, path, None, k) for k, path in enumerate(folders)]
+    accepted = None
+    as_text = all(lines for _, lines in parts)
+    for rows, lines in parts:
+        rows = rows if as_text or not lines else typed(rows, PLACE)
+        accepted = rows if accepted is None else accepted.unionByName(rows, allowMissingColumns=True)
+    accepted = accepted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *PLACE).sortWithinPartitions(*PLACE)
+    accepted = typed(accepted) if as_text else accepted.drop(*PLACE)
     for path in folders:
-        part = read_dataset(spark, path)
-        accepted = part if accepted is None else accepted.unionByName(part, allowMissingColumns=True)
         stem = companion_stem(path)
         gone, fs = _fs(spark, f"{stem}.rejected.jsonl")
         if fs.exists(gone):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import redact, strip
+from ..functions.work import cut
 
 
 def curate_stream(stream: DataFrame, time: str, text: str = "text", delay: str = "1 hour") -> DataFrame:
@@ -17,7 +18,8 @@ def curate_stream(stream: DataFrame, time: str, text: str = "text", delay: str =
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str, order: str, text: str = "text") -> StreamingQuery:
-    """Append to a Parquet folder what no earlier batch has kept: of each batch the first rows, by order, of new texts.
+    """Append to a Parquet folder what no earlier batch has kept: of each batch the first row, by order (nulls first, one of
+    equal ones), of each new text.
 
     The folder has a column _key, the text's digest, to find copies by. A batch that is repeated after a failure finds its
     own rows there and adds none twice.
@@ -25,8 +27,10 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, order: str, text
 
     def add(batch: DataFrame, _: int) -> None:
         rows = batch.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("_key", F.sha2(strip(F.col(text)), 256))
-        first = rows.groupBy("_key").agg(F.min(order).alias("_first"))
-        rows = rows.join(first, "_key").where(F.col(order) == F.col("_first")).drop("_first")
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "stream")
+        place = F.struct(F.col(order).isNotNull().alias("some"), F.col(order).alias("order"), "_row")
+        first = rows.groupBy("_key").agg(F.min(place)["_row"].alias("_row")).select("_row")
+        rows = rows.join(first, "_row", "left_semi").drop("_row")
         spark = batch.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
