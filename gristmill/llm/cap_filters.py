@@ -7,6 +7,7 @@ Vectors that share a filter are compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from typing import NamedTuple
@@ -31,10 +32,11 @@ class Plan(NamedTuple):
     seed: int
 
 
-def plan(vectors: int, each: int = 12, meet: int = 24, codes: int = 3, seed: int = 5) -> Plan:
-    """Of each code a vector passes `each` filters on average, and a filter has `meet` vectors that have nothing to do with each other, whatever their number."""
+def plan(vectors: int, each: int = 12, meet: int = 24, codes: int | None = None, seed: int = 5) -> Plan:
+    """Of each code a vector passes `each` filters on average, and a filter has `meet` vectors that have nothing to do with
+    each other, whatever their number. So filters are narrower for more vectors; one code more for ten times as many makes up for it."""
     share = min(0.05, meet / max(1, vectors))
-    return Plan(share, max(each, round(each / share)), codes, seed)
+    return Plan(share, max(each, round(each / share)), codes or max(3, math.ceil(math.log10(max(1, vectors))) - 2), seed)
 
 
 @lru_cache(16)
@@ -48,10 +50,10 @@ def _cap(d: int, share: float) -> float:
 
 @lru_cache(64)
 def _code(d: int, filters: int, *seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A random rotation and the code words of each part: as many parts as keep a part's words below about 100."""
+    """A random rotation and the code words of each part: as many parts as keep a part's words below about 2,000. Fewer parts give filters that depend less on each other."""
     rng = np.random.default_rng([*seed, d])
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    parts = next((m for m in (1, 2, 3, 4) if filters <= 100**m), 5)
+    parts = next((m for m in (2, 3, 4) if filters <= 2000**m), 5)
     words = []
     for p in np.array_split(np.arange(d), parts):
         w = rng.standard_normal((round(filters ** (1 / parts)) + 1, len(p)))
@@ -88,8 +90,8 @@ def _filtered(batches, p: Plan) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(v) for v in b.column("vector")])
         for d in np.unique(sizes):
             of = b.filter(pa.array(sizes == d))
-            for k in range(0, len(of), 512):
-                part = of.slice(k, 512)
+            for k in range(0, len(of), 128):
+                part = of.slice(k, 128)
                 x = _vectors(part.column("vector"))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 row, number = (np.concatenate(z) for z in zip(*(decode(x, p, code) for code in range(p.codes))))
