@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The code points that Python's str.strip and str.split treat as white space.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same as characters.
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 #: Patterns of personal data, applied in this order.
 PII = {
     "EMAIL_ADDRESS": r"(?iuU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
@@ -28,7 +31,8 @@ SECRETS = [
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    """str.strip(): only the ends of a text are looked at."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def split_words(text: Column) -> Column:

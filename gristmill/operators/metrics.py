@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.work import cut
+from . import vectors
 
 
 def tokens(text: Column) -> Column:
@@ -191,44 +192,23 @@ def multilabel_scores(df: DataFrame, actual: str, predicted: str, labels: list[s
     return f1.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1")).join(whole)
 
 
-def nearest(train: DataFrame, queries: DataFrame, key: str, vector: str, rows: int = 8192) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, key: str, vector: str, **options) -> DataFrame:
     """query, nearest, sim: for each query vector the train row of the highest cosine, the smallest key of equal ones.
 
-    Blocks of both sides meet, and the best of each block go on; so no task holds more than two blocks. Null vectors are left out.
+    Queries probe inverted lists of the train rows (see vectors; options are those of VectorIndex): the nearest of what they
+    probe, or with exact=True of all. Vectors that are null, empty or without length have no nearest and are none;
+    vectors meet those of their own length only.
     """
-    kind, other = queries.schema[key].dataType.simpleString(), train.schema[key].dataType.simpleString()
-
-    def blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        some = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-        n = max(1, -(-some.count() // rows))
-        return some.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
-
-    t, nt = blocked(train, "tb")
-    q, nq = blocked(queries, "qb")
-    t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.nan_to_num(np.stack(v.to_list()).astype(np.float32))
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query": b["id"].iloc[:0], "nearest": a["id"].iloc[:0], "sim": np.zeros(0)})
-        if not len(a) or not len(b):
-            return out
-        a = a.sort_values("id")
-        left, parts = unit(a["v"]), []
-        for k in range(0, len(b), 512):
-            part = b.iloc[k : k + 512]
-            s = unit(part["v"]) @ left.T
-            best = s.argmax(axis=1)
-            parts.append(pd.DataFrame({"query": part["id"].to_numpy(), "nearest": a["id"].to_numpy()[best], "sim": s[np.arange(len(part)), best].astype("float64")}))
-        return pd.concat(parts)
-
-    found = t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInPandas(meet, f"query {kind}, nearest {other}, sim double")
-    least = Window.partitionBy("query").orderBy(F.desc("sim"), "nearest")
-    return found.withColumn("_r", F.row_number().over(least)).where("_r = 1").drop("_r")
+    some = lambda df, name: df.where(vectors.sound(vector)).select(F.col(key).alias(name), F.col(vector).alias("v"))
+    rows, asked = cut(some(train, "ord"), "nearest-rows"), some(queries, "query")
+    out = None
+    for part in vectors.by_length(rows):
+        size = F.size("v") == part.select(F.size("v").alias("d")).first()["d"]
+        found = vectors.VectorIndex(part, **options).nearest(asked.where(size))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return asked.where(F.lit(False)).select("query", F.lit(None).cast(rows.schema["ord"].dataType).alias("nearest"), F.lit(None).cast("double").alias("sim"))
+    return out
 
 
 def normalise(df: DataFrame, kind: str) -> DataFrame:

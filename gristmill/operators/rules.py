@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +28,26 @@ def repeat_ratio(texts: pd.Series) -> pd.Series:
 
 
 def rule_issues(df: DataFrame, prompt: str = "prompt", response: str = "response", lengths: tuple[int, int, int, int] = (4, 15000, 5, 50000), repeat: float = 0.35) -> DataFrame:
-    """df with issues (array of strings). An empty prompt takes the response's place."""
+    """df with issues (array of strings). An empty prompt takes the response's place.
+
+    A text that is both is looked through once, and for each mark only if it has one of their beginnings.
+    """
     low_p, high_p, low_r, high_r = lengths
-    p = F.when(F.col(prompt) == "", F.col(response)).otherwise(F.col(prompt))
-    df = df.withColumns({"_p": p, "_r": F.col(response), "_ratio": repeat_ratio(F.col(response))})
+    alone = F.col(prompt) == ""
+    p = F.when(alone, F.col(response)).otherwise(F.col(prompt))
+    starts = sorted({b[:2] if b.startswith("<|") else b for b in BAD})
+    some = lambda c: reduce(or_, (F.contains(F.col(c), F.lit(x)) for x in starts))
+    df = df.withColumns({"_p": p, "_r": F.col(response), "_ratio": repeat_ratio(F.col(response)), "_marked": some(response) | (~alone & some(prompt))})
     ratio = F.col("_ratio")
     checks = [
         F.when(F.char_length(strip(F.col("_p"))) < low_p, F.lit(f"Prompt too short (< {low_p} chars)")),
         F.when(F.char_length("_p") > high_p, F.format_string(f"Prompt exceeds max length (%d > {high_p})", F.char_length("_p"))),
         F.when(F.char_length(strip(F.col("_r"))) < low_r, F.lit(f"Response too short (< {low_r} chars)")),
         F.when(F.char_length("_r") > high_r, F.format_string(f"Response exceeds max length (%d > {high_r})", F.char_length("_r"))),
-        *(F.when(F.contains(F.col("_p"), F.lit(b)) | F.contains(F.col("_r"), F.lit(b)), F.lit(f"Contains corrupted token/placeholder: {b}")) for b in BAD),
+        *(F.when(F.col("_marked") & (F.contains(F.col("_p"), F.lit(b)) | F.contains(F.col("_r"), F.lit(b))), F.lit(f"Contains corrupted token/placeholder: {b}")) for b in BAD),
         F.when(ratio > repeat, F.format_string("Degenerate repetition loop detected (repeat ratio: %.2f)", ratio)),
     ]
-    return df.withColumn("issues", F.filter(F.array(*checks), lambda e: e.isNotNull())).drop("_p", "_r", "_ratio")
+    return df.withColumn("issues", F.filter(F.array(*checks), lambda e: e.isNotNull())).drop("_p", "_r", "_ratio", "_marked")
 
 
 #: The scores of a record that fails the rules.

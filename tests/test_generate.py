@@ -167,8 +167,9 @@ def test_nearest(spark):
     df = lambda a: spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(a)] + [(999, None)], "id long, v array<float>")
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {k: int((unit[30:][k] @ unit[:30].T).argmax()) for k in range(20)}
-    for size in (8192, 7):
-        assert {r.query: r.nearest for r in metrics.nearest(df(m[:30]), df(m[30:]), "id", "v", rows=size).collect()} == want
+    for options in ({"exact": True}, {"exact": True, "lists": 20, "probes": 2}, {"lists": 1}):
+        assert {r.query: r.nearest for r in metrics.nearest(df(m[:30]), df(m[30:]), "id", "v", **options).collect()} == want
+    assert metrics.nearest(df(m[:0]), df(m[30:]), "id", "v").collect() == []
 
 
 def test_hygiene_and_recovery(spark):
