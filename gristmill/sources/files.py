@@ -1,12 +1,12 @@
 """Datasets in files: readers, writers and size guards for all containers.
 
 Parquet, csv, tsv, txt and jsonl are read and written by Spark in parallel, from any file system it knows. JSON and YAML
-documents, Arrow files and dataset folders are one value each: a task reads a whole file, and containers are unpacked there.
+documents, Arrow files and dataset folders are read piece by piece and written in parts by tasks (see documents); where
+only Spark can open a path, a task reads a whole file of these, and they can't be written.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import re
@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.work import cut
+from . import documents
+from .documents import SPLIT, container_rows
 
 #: Suffixes and the container they stand for.
 SUFFIXES = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "yaml": "yaml", "yml": "yaml", "parquet": "parquet", "pq": "parquet", "arrow": "arrow", "feather": "arrow", "ipc": "arrow", "csv": "csv", "tsv": "tsv", "txt": "txt"}
 #: Containers that Spark compresses as whole files.
 GZIPPED = ("jsonl", "json", "yaml", "csv", "tsv", "txt")
-#: The column of the split that a record of a split container came from.
-SPLIT = "split"
 #: Columns of a row's place in the input: the argument's number, the file, the start of the block that was read, the row in it.
 PLACE = ("_gm_arg", "_gm_file", "_gm_block", "_gm_at")
 #: Blocks whose counts are broadcast, at most.
@@ -42,26 +42,6 @@ def path_format(path: str) -> str:
     return kind
 
 
-def container_rows(data) -> list[dict]:
-    """The records in a JSON or YAML document: a list, a wrapper, splits, columns or one object."""
-    if isinstance(data, list):
-        rows = data
-    elif not isinstance(data, dict):
-        raise ValueError("a dataset document must be a list or an object")
-    elif wrapped := next((data[k] for k in ("data", "records", "items") if isinstance(data.get(k), list)), None):
-        rows = wrapped
-    elif data and all(isinstance(v, list) for v in data.values()):
-        if all(isinstance(x, dict) for v in data.values() for x in v):
-            rows = [x | {SPLIT: k} for k, v in data.items() for x in v]
-        else:
-            rows = [dict(zip(data, vs)) for vs in zip(*data.values())]
-    else:
-        rows = [data]
-    if not all(isinstance(x, dict) for x in rows):
-        raise ValueError("every record must be an object")
-    return rows
-
-
 def json_lines(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines of JSON objects without blank ones, with the columns to keep; a line that is no object ends the job. Arrays are no records."""
     kept = df.where(F.trim(F.translate(value, "\t\r\n", "   ")) != "").withColumn("_v", F.try_parse_json(value))
@@ -142,6 +122,8 @@ def read_placed(spark: SparkSession, path: str, fmt: str | None = None, arg: int
     at = F.monotonically_increasing_id().alias("_gm_at")
     block = [F.col("_metadata.file_path").alias("_gm_file"), F.col("_metadata.file_block_start").alias("_gm_block")]
     if kind in ("json", "yaml", "arrow", "dataset"):
+        if documents.known(path):
+            return documents.read_documents(spark, path, kind).withColumn("_gm_arg", F.lit(arg)), True
         read = partial(_documents, kind=kind) if kind in ("json", "yaml") else _arrow_lines
         rows = _whole(spark, path, "*.arrow" if kind == "dataset" else None).mapInArrow(read, "value string, _gm_file string, _gm_at long")
         rows = rows.select("value", "_gm_file", F.lit(0).cast("long").alias("_gm_block"), "_gm_at")
@@ -248,12 +230,11 @@ def write_dataset(df: DataFrame, path: str, fmt: str | None = None, single: bool
     """Write df's rows as a container, replacing what is at path in one step: all is written beside it and then renamed.
 
     A folder of part files by default; `single` makes one file, in one task, for data that fits there. json, yaml and
-    arrow are single documents and always one file. A .gz path is compressed.
+    arrow are single documents and always one file, which tasks write in parts. A .gz path is compressed.
     """
     spark, kind = df.sparkSession, fmt or path_format(path)
     temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     packed = path.lower().endswith(".gz")
-    single = single or kind in ("json", "yaml", "arrow")
     rows = df.coalesce(1) if single else df
     if kind == "parquet":
         rows.write.parquet(temp)
@@ -265,7 +246,11 @@ def write_dataset(df: DataFrame, path: str, fmt: str | None = None, single: bool
         name = "classify_text" if "classify_text" in df.columns else "text"
         rows.select(F.translate(F.coalesce(F.col(name).cast("string"), F.lit("")), "\r\n", "  ").alias("value")).write.option("compression", "gzip" if packed else "none").text(temp)
     elif kind in ("json", "yaml", "arrow"):
-        _write_document(rows, path, temp, kind, packed)
+        if not documents.known(path):
+            raise ValueError(f"{kind} documents need a path that workers can open: {path}")
+        documents.write_document(df, temp, kind, packed)
+        target, fs = _fs(spark, path)
+        _replace(spark, fs, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(temp), target)
         return
     else:
         raise ValueError(f"no writer for {kind}")
@@ -294,50 +279,6 @@ def _replace(spark, fs, source, target) -> None:
         fs.delete(old, True)
 
 
-def _write_document(rows: DataFrame, path: str, temp: str, kind: str, packed: bool) -> None:
-    """One document from all rows, in one task; its bytes travel as one binary row, 2 GB at most, and no further than the file."""
-    names = rows.columns
-    if kind == "arrow":
-
-        def build(batches):
-            sink, writer = io.BytesIO(), None
-            for b in batches:
-                writer = writer or pa.ipc.new_file(sink, b.schema)
-                writer.write_batch(b)
-            if writer:
-                writer.close()
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], names=["data"])
-
-        packed_rows = rows
-    else:
-        packed_rows = rows.select(F.to_json(F.struct(*(f"`{n}`" for n in names)), {"ignoreNullFields": "false"}).alias("value"))
-
-        def build(batches):
-            lines = [x for b in batches for x in b.column(0).to_pylist()]
-            if kind == "yaml":
-                import yaml
-
-                data = yaml.safe_dump([json.loads(x) for x in lines], allow_unicode=True, sort_keys=False).encode()
-            else:
-                data = ("[\n" + ",\n".join(lines) + "\n]\n").encode()
-            if packed:
-                import gzip
-
-                data = gzip.compress(data)
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
-
-    spark = rows.sparkSession
-    found = packed_rows.mapInArrow(build, "data binary").first()
-    data = bytes(found["data"]) if found else b"[]\n"
-    target, fs = _fs(spark, path)
-    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(temp)
-    out = fs.create(source, True)
-    for k in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[k : k + (1 << 20)]))
-    out.close()
-    _replace(spark, fs, source, target)
-
-
 class InputTooLarge(ValueError):
     """A file or record is above the limits."""
 
