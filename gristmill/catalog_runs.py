@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import _CHAT, _FIRST, _ISSUES, _NB, _STRIP, _TOKENS, WS, labelled, query, table
 from .functions.text import split_words
 from .functions.work import work_dir
-from .operators import analysis, dedup, generate, metrics, records
+from .operators import analysis, dedup, generate, metrics, recognise, records
 from .plans.curate import CurateConfig, curate
 from .plans.pipeline import PipelineConfig, Run, prepare, profile_records, read_records
 from .providers.offline import HashedNgrams, OfflineProvider
@@ -298,3 +298,22 @@ def input_order(spark, sf_dir):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed.repartitionByRange(tasks, "place").sortWithinPartitions("place").select("part", F.col("doc_id").cast("string").alias("id"), "text").write.partitionBy("part").json(path)
     return read_records(spark, path).select(F.col("_ord").alias("place"), "id", F.md5("text").alias("text_md5"))
+
+
+_CARDS = r"list_filter(regexp_extract_all(coalesce(text, ''), '\b(?:\d[ -]?){12,18}\d\b'), lambda c: list_sum(list_transform(list_reverse(string_split(regexp_replace(c, '[ -]', '', 'g'), '')), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT ELSE (2 * d::INT) // 10 + (2 * d::INT) % 10 END)) % 10 = 0)"
+_IBANS = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b'), lambda c: replace(c, ' ', '')), lambda c: length(c) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || left(c, 4), ''), lambda x: CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE x::INT END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1)"
+
+
+@query(f"SELECT doc_id, len({_CARDS}) AS n_cards, len({_IBANS}) AS n_ibans, len(regexp_extract_all(coalesce(text, ''), '\\b9\\d{{2}}[- ](?:5\\d|6[0-5]|7\\d|8[0-8]|9[0-24-9])[- ]\\d{{4}}\\b')) AS n_itins FROM documents")
+def pii_checked(spark, sf_dir):
+    """Numbers that hold by their check sums or ranges."""
+    found = recognise.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", recognise.Finder(entities=["CREDIT_CARD", "IBAN_CODE", "US_ITIN"]))
+    n = lambda e: F.size(F.filter("spans", lambda s: s["entity"] == e)).cast("long")
+    return found.select("doc_id", n("CREDIT_CARD").alias("n_cards"), n("IBAN_CODE").alias("n_ibans"), n("US_ITIN").alias("n_itins"))
+
+
+@query()
+def pii_spans(spark, sf_dir):
+    """All entities of every document, with their places in the text."""
+    found = recognise.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")

@@ -192,7 +192,7 @@ def multilabel_scores(df: DataFrame, actual: str, predicted: str, labels: list[s
     return f1.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1")).join(whole)
 
 
-def nearest(train: DataFrame, queries: DataFrame, key: str, vector: str, **options) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, key: str, vector: str, probes: int = 64, **options) -> DataFrame:
     """query, nearest, sim: for each query vector the train row of the highest cosine, the smallest key of equal ones.
 
     Queries probe inverted lists of the train rows (see vectors; options are those of VectorIndex): the nearest of what they
@@ -204,7 +204,7 @@ def nearest(train: DataFrame, queries: DataFrame, key: str, vector: str, **optio
     out = None
     for part in vectors.by_length(rows):
         size = F.size("v") == part.select(F.size("v").alias("d")).first()["d"]
-        found = vectors.VectorIndex(part, **options).nearest(asked.where(size))
+        found = vectors.VectorIndex(part, probes, **options).nearest(asked.where(size))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return asked.where(F.lit(False)).select("query", F.lit(None).cast(rows.schema["ord"].dataType).alias("nearest"), F.lit(None).cast("double").alias("sim"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import IDENTIFIERS, PII, redact, strip
 from ..functions.work import cut
-from ..operators import analysis, dedup, generate, records
+from ..operators import analysis, dedup, generate, recognise, records
 from ..plugins import recogniser_patterns, validator_errors
 from ..providers.base import Calls, Embedder, Provider, create_provider
 from ..providers.offline import HashedNgrams
@@ -54,11 +54,13 @@ class PipelineConfig:
     metrics_text: bool = False
     validators: tuple[str, ...] = ()
     recognisers: tuple[str, ...] = ()
+    pii_engine: str = "patterns"  # patterns: one after the other; spans: recognisers with checks, overlaps resolved
+    names: tuple[tuple[str, tuple[str, ...]], ...] = ()  # for spans: entities (as PERSON) with the names of each
     requests_per_minute: int | None = None  # of all tasks together; None: no limit
     tasks_at_once: int = 8  # that call the provider, under such a limit
 
     def __post_init__(self):
-        known = {"quality_mode": ("llm", "sampled", "off"), "dedup_method": DEDUP, "classification": ("auto", "off", *generate.LEAST_CLASSES), "classification_pii_mode": ("identifiers", "all", "off"), "accuracy_contract": ("balanced", "strict"), "refine_mode": ("all", "prompt_only", "response_only"), "network_policy": ("unrestricted", "local", "strict")}
+        known = {"quality_mode": ("llm", "sampled", "off"), "dedup_method": DEDUP, "classification": ("auto", "off", *generate.LEAST_CLASSES), "classification_pii_mode": ("identifiers", "all", "off"), "accuracy_contract": ("balanced", "strict"), "refine_mode": ("all", "prompt_only", "response_only"), "network_policy": ("unrestricted", "local", "strict"), "pii_engine": ("patterns", "spans")}
         for name, values in known.items():
             if getattr(self, name) not in values:
                 raise ValueError(f"{name} must be one of {', '.join(values)}")
@@ -142,6 +144,8 @@ class Run:
         patterns = PII | recogniser_patterns(self.config.recognisers)
         names = [n for n in patterns if policy == "all" or n in IDENTIFIERS]
         fields = records.FIELDS  # those of the formats, and of records of no known format all that are looked at
+        if self.config.pii_engine == "spans":
+            return self._scrubbed(rows, policy, state)
         clean = lambda c: redact(c, names, patterns)
         new = {c: clean(F.col(c)) for c in fields} | {"messages": F.transform("messages", lambda m: F.struct(m["role"].alias("role"), clean(m["content"]).alias("content")))}
         out = rows.withColumns({f"_new_{k}": v for k, v in new.items()})
@@ -149,6 +153,22 @@ class Run:
         out = out.withColumn("redactions", changed).withColumns({k: F.when(_live(), F.col(f"_new_{k}")).otherwise(F.col(k)) for k in new})
         return records.with_views(out.drop(*(f"_new_{k}" for k in new), "prompt_text", "response_text", "classify_text", "content"))
 
+    def _scrubbed(self, rows: DataFrame, policy: str, state: dict) -> DataFrame:
+        """rows with what recognisers find replaced in all fields and messages, a row's texts together; live rows only."""
+        own = tuple(recognise.Recogniser(k, v, 0.9) for k, v in recogniser_patterns(self.config.recognisers).items())
+        finder = recognise.Finder((*own, *recognise.DEFAULT), {e: list(v) for e, v in self.config.names}, None if policy == "all" else list(IDENTIFIERS))
+        fields = list(records.FIELDS)
+        texts = F.concat(F.array(*fields), F.coalesce(F.transform("messages", lambda m: m["content"]), F.array().cast("array<string>")))
+        out = cut(rows.withColumn("_new", recognise.scrubbed(F.when(_live(), texts), finder)), "scrubbed")
+        new = {f: F.when(_live(), F.col("_new")[k]["text"]).otherwise(F.col(f)) for k, f in enumerate(fields)}
+        said = F.transform("messages", lambda m, k: F.struct(m["role"].alias("role"), F.get("_new", k + len(fields))["text"].alias("content")))
+        new["messages"] = F.when(_live() & F.col("messages").isNotNull(), said).otherwise(F.col("messages"))
+        found = F.flatten(F.transform("_new", lambda x: x["found"]))
+        counts = out.select(F.explode(found).alias("entity")).groupBy("entity").agg(F.count("*").alias("n")).orderBy("entity").collect()  # a row an entity
+        state["metrics"]["stages"]["pii"]["entity_counts"] = {r["entity"]: r["n"] for r in counts}
+        out = out.withColumns(new | {"redactions": F.when(_live(), (F.size(found) > 0).cast("int")).otherwise(F.col("redactions"))})
+        return records.with_views(out.drop("_new", "prompt_text", "response_text", "classify_text", "content"))
+
     def profile(self, rows: DataFrame, state: dict) -> DataFrame:
         state["profile"] = profile_records(rows.where(_live()), self.provider, self.config.classification_sample_size)
         p = state["profile"]
