@@ -57,10 +57,12 @@ def _stats_batches(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), *(pa.array(c, pa.int64()) for c in cols)], names=[*b.schema.names[:-1], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-#: Measures with an upper fence, and the least distance of a fence from the third quartile.
-UPPER = {"symbols": 0.15, "repeats": 0.35, "dup_lines": 4.0}  # of 100 words
+#: Measures with an upper fence, and the quantile up to which rows are taken to be usual.
+UPPER = {"symbols": 0.9, "repeats": 0.95, "dup_lines": 0.98}
 #: Measures with both fences.
-BOTH = {"word_length": 1.5}
+BOTH = {"word_length": 0.9}
+#: The least distance of a fence from its quartile, for groups whose usual rows are all alike.
+ZERO = {"symbols": 0.15, "repeats": 0.25, "dup_lines": 2.0, "word_length": 0.5}
 
 
 def measures() -> dict[str, Column]:
@@ -88,18 +90,22 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float], error:
     return cum.groupBy(*keys).agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") >= F.col("all") * q, F.struct("bin", middle.alias("v"))))["v"].alias(k) for k, q in at.items()))
 
 
-def quality_rules(docs: DataFrame, spread: float = 4.0, weight: int = 30, error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, the five base measures, base_failed, kept, group_weight, lang, source, key (a hash of the text).
+def quality_rules(docs: DataFrame, spread: float = 4.0, reach: float = 10.0, weight: int = 30, error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, the five base measures, base_failed, kept, group_weight, fence_<measure>, lang, source, key (a hash of the text).
 
     Base rules: fewer than 50 words, or over half the words in repeated 3-word windows. The others learn a fence per
-    language and source from the rows that pass the base rules: quartiles from mergeable sketches, fence = third
-    quartile + spread * (distance of the quartiles, with a least distance), for word length also below the first.
-    Quartiles hold still while less than a quarter of a group is junk, and no fixed share of a clean group is lost.
-    Small groups lean on larger ones, without a step: a language's quartiles are drawn to those of all rows, and a
+    language and source from the rows that pass the base rules, from mergeable sketches: fence = third quartile of the
+    group + the larger of spread * the distance of its quartiles and reach * the distance from the third quartile to a high
+    quantile, the group's or its language's, whichever is less; for word length also below the first. Quartiles hold still
+    while less than a quarter of a group is junk. A source full of junk doesn't widen its fence, as its language's quantile
+    stays, nor do sources of another kind, as the group's own does. ZERO is the least of these distances, for groups
+    whose usual rows are all alike, as without any symbol.
+    Small groups lean on larger ones, without a step: a language's quantiles are drawn to those of all rows, and a
     group's to its language's, as if `weight` of its rows had those. group_weight says how much is the group's own, its
     rows / (its rows + weight); 0 if none of its rows passes the base rules.
 
-    Null and empty texts have no words and fail. A null language or source is a group like any other. Ids keep their
+    Null and empty texts have no words and fail. A null language or source is a group like any other. Very long texts are
+    measured whole, one at a time. Columns other than the four named don't matter, whatever their names. Ids keep their
     type. Repeated rows each have a row. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -111,17 +117,22 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, weight: int = 30, error:
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in measures())))
     values = slim.where("not base_failed").select("lang", "source", named.alias("m")).select("lang", "source", "m.*")
     base = cut(sketch(values, ["lang", "source", "measure"], "v", error), "quality-sketches")
-    at = {"low": 0.25, "high": 0.75}
+    tails = sorted({*UPPER.values(), *BOTH.values()})
+    at = {"low": 0.25, "high": 0.75} | {f"top{k}": q for k, q in enumerate(tails)}
     one = quantiles(base, ["lang", "source", "measure"], at, error)
     merged = base.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
     two = quantiles(merged, ["lang", "measure"], at, error).select(F.col("lang").alias("lang2"), F.col("measure").alias("measure2"), *(F.col(c).alias(f"{c}2") for c in ("n", *at)))
     every = quantiles(merged.groupBy("measure", "bin").agg(F.sum("n").alias("n")), ["measure"], at, error).select(F.col("measure").alias("measure3"), *(F.col(c).alias(f"{c}3") for c in at))
     all_three = one.join(two, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("measure2"))).join(F.broadcast(every), F.col("measure") == F.col("measure3"))
     drawn = lambda own, n, to: (F.col(n) * F.col(own) + weight * to) / (F.col(n) + weight)
-    pick = {c: drawn(c, "n", drawn(f"{c}2", "n2", F.col(f"{c}3"))) for c in at}
-    fences = all_three.select("lang", "source", "measure", "n", *(v.alias(c) for c, v in pick.items()))
-    gap = F.greatest(F.col("high") - F.col("low"), F.element_at(F.create_map(*(F.lit(x) for kv in (UPPER | BOTH).items() for x in kv)), F.col("measure")) / spread)
-    fences = fences.groupBy("lang", "source").pivot("measure", list(UPPER | BOTH)).agg(F.first(F.struct((F.col("low") - spread * gap).alias("low"), (F.col("high") + spread * gap).alias("high"), "n")))
+    of_lang = {c: drawn(f"{c}2", "n2", F.col(f"{c}3")) for c in at}
+    by_measure = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col("measure"))
+    at_top = lambda values: F.coalesce(*(F.when(by_measure(UPPER | BOTH) == q, values[f"top{k}"]) for k, q in enumerate(tails)))
+    of_group = {c: drawn(c, "n", of_lang[c]) for c in at}
+    usual = F.least(*(at_top(v) - v["high"] for v in (of_lang, of_group)))
+    fences = all_three.select("lang", "source", "measure", "n", *(of_group[c].alias(c) for c in ("low", "high")), F.greatest(reach * usual, by_measure(ZERO)).alias("usual"))
+    gap = F.greatest(spread * (F.col("high") - F.col("low")), F.col("usual"))
+    fences = fences.groupBy("lang", "source").pivot("measure", list(UPPER | BOTH)).agg(F.first(F.struct((F.col("low") - gap).alias("low"), (F.col("high") + gap).alias("high"), "n")))
     fences = fences.select(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")).alias("group"), *(F.col(c).alias(f"fence_{c}") for c in UPPER | BOTH))
     rows = lookup(slim.withColumn("group", F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))), cut(fences, "quality-fences"), "group", F.xxhash64("doc_id"))
     inside = F.lit(True)
@@ -130,7 +141,7 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, weight: int = 30, error:
     for c in BOTH:
         inside = inside & (F.col(c) >= F.col(f"fence_{c}.low"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce(F.col("fence_word_length.n") / (F.col("fence_word_length.n") + weight), F.lit(0.0)).alias("group_weight"), "lang", "source", "key")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce(F.col("fence_word_length.n") / (F.col("fence_word_length.n") + weight), F.lit(0.0)).alias("group_weight"), *(F.col(f"fence_{c}.high").alias(f"fence_{c}") for c in UPPER | BOTH), "lang", "source", "key")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -236,6 +236,26 @@ def test_quality_thresholds_adapt(spark):
     assert all(kept[k] for k in range(600)) and not any(kept[1000 + k] for k in range(20))
 
 
+def test_junk_in_one_source_and_an_odd_clean_one(spark):
+    """Fences are a group's own: a source of many repeats stays, one that is half junk doesn't hide it, and the same text is judged by its source."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+
+    def text(share):
+        again = [word() for _ in range(3)]
+        return " ".join(" ".join(again if rng.random() < share else [word() for _ in range(3)]) for _ in range(60))
+
+    rows = [(k, text(0.0), "en", f"s{k % 4}") for k in range(800)]
+    rows += [(1000 + k, text(rng.uniform(0.1, 0.35)), "en", "odd") for k in range(200)]
+    same = " ".join(["aaaaa bbbbb ccccc"] * 27 + [text(0.0)[:600]])
+    rows += [(2000 + k, " ".join(word() + rng.choice(["*", "#", ""]) for _ in range(90)), "en", "s0") for k in range(60)]
+    rows += [(3000, same, "en", "odd"), (3001, rows[0][1], "en", "odd"), (3002, same, "en", "s1")]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(make(spark, rows)).collect()}
+    assert all(kept[k] for k in range(800)) and all(kept[1000 + k] for k in range(200))
+    assert not any(kept[2000 + k] for k in range(60))
+    assert kept[3000] and kept[3001] and not kept[3002]
+
+
 def test_sketch_is_mergeable_and_close(spark):
     values = [random.Random(k).lognormvariate(0, 2) for k in range(3000)]
     df = spark.createDataFrame([(k % 3, v) for k, v in enumerate(values)], "p int, v double")
