@@ -8,9 +8,10 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import IDENTIFIERS, PII, redact, strip
@@ -120,10 +121,11 @@ class Run:
         self.embedder = embedder or HashedNgrams()
         self.calls = Calls(config.requests_per_minute, config.tasks_at_once)
 
-    def _strict(self, rows: DataFrame) -> tuple[bool, bool]:
-        """Whether all live rows (there are some) have labels, and whether the strict contract therefore holds."""
-        one = rows.where(_live()).agg(F.count("*").alias("n"), F.count_if(F.col("label_kind") != "none").alias("l")).first()
-        labelled = one["n"] > 0 and one["n"] == one["l"]
+    def _strict(self, rows: DataFrame, state: dict) -> tuple[bool, bool]:
+        """Whether all live rows (there are some) have labels, and whether the strict contract therefore holds: as the stage
+        before has counted while it wrote its rows."""
+        one = state.get("counts") or rows.agg(*stage_counts("")).first().asDict()
+        labelled = one["accepted"] > 0 and one["accepted"] == one["labelled"]
         return labelled, labelled and self.config.accuracy_contract == "strict"
 
     def validate(self, rows: DataFrame, state: dict) -> DataFrame:
@@ -135,7 +137,7 @@ class Run:
         return rows.withColumns({"stage": F.when(bad, "validate"), "reason": F.when(bad, F.col("_e"))}).drop("_e")
 
     def pii(self, rows: DataFrame, state: dict) -> DataFrame:
-        labelled, strict = self._strict(rows)
+        labelled, strict = self._strict(rows, state)
         policy = "off" if strict else self.config.classification_pii_mode if labelled else "all"
         on = self.config.scrub_pii and policy != "off"
         state["metrics"]["stages"]["pii"] = {"enabled": on, "policy": policy}
@@ -176,7 +178,7 @@ class Run:
         return rows
 
     def dedup(self, rows: DataFrame, state: dict) -> DataFrame:
-        labelled, strict = self._strict(rows)
+        labelled, strict = self._strict(rows, state)
         method = "off" if strict else self.config.dedup_method
         if method == "auto":
             method = "exact" if labelled else "minhash"
@@ -203,7 +205,7 @@ class Run:
         return generate.audit(views, "_ord", self.provider, self.config.quality_audit_batch_size, p.get("task_type"), p.get("classes"), calls=self.calls.kept_in(name))
 
     def score_refine(self, rows: DataFrame, state: dict) -> DataFrame:
-        strict = self._strict(rows)[1]
+        strict = self._strict(rows, state)[1]
         mode = "off" if strict else self.config.quality_mode
         live = rows.where(_live())
         if mode == "off":
@@ -233,7 +235,7 @@ class Run:
         return scored.select(*rows.columns)
 
     def filter(self, rows: DataFrame, state: dict) -> DataFrame:
-        strict = self._strict(rows)[1]
+        strict = self._strict(rows, state)[1]
         mode = "off" if strict else self.config.quality_mode
         if mode != "llm":
             why = "accuracy_contract=strict preserves labeled rows" if strict else f"quality_mode={mode} does not produce per-row scores"
@@ -244,7 +246,7 @@ class Run:
 
     def classify(self, rows: DataFrame, state: dict) -> DataFrame:
         c, p = self.config, state["profile"]
-        labelled, strict = self._strict(rows)
+        labelled, strict = self._strict(rows, state)
         schema = None
         if strict:
             action = "strict_existing_labels"
@@ -293,14 +295,18 @@ class Run:
                 continue
             start, stage = time.time(), getattr(self, name)
             out = stage(rows, state)
-            if out is not rows or folder:
+            if out is not rows or folder or not state.get("counts"):
+                counted = Observation(f"{name}-{uuid.uuid4().hex}")
+                watched = out.observe(counted, *stage_counts(name))  # counted by the tasks that write, instead of another scan
                 if folder:
-                    out.write.mode("overwrite").parquet(f"{folder}/{name}")
+                    watched.write.mode("overwrite").parquet(f"{folder}/{name}")
                     rows = spark.read.parquet(f"{folder}/{name}")
                 else:
-                    rows = cut(out, f"stage-{name}")
-            own = state["metrics"]["stages"].setdefault(name, {})
-            one = rows.agg(F.count("*").alias("n"), F.count_if(_live()).alias("accepted"), F.count_if(F.col("stage") == name).alias("rejected"), F.count_if(_live() & (F.col("redactions") > 0)).alias("redacted")).first()
+                    rows = cut(watched, f"stage-{name}")
+                state["counts"] = dict(counted.get)
+            else:
+                state["counts"] |= {"rejected": 0}
+            own, one = state["metrics"]["stages"].setdefault(name, {}), state["counts"]
             state["metrics"]["input_records"] = one["n"]
             own |= {"accepted": one["accepted"], "rejected": one["rejected"], "seconds": round(time.time() - start, 3)}
             if name == "pii":
@@ -317,6 +323,11 @@ class Run:
         return RunResult(rows, state["profile"], state["metrics"], counts)
 
 
+def stage_counts(name: str) -> list[Column]:
+    """What a stage's rows are counted by: all, live ones, those with labels or redactions, and those that the stage rejected."""
+    return [F.count(F.lit(1)).alias("n"), F.count_if(_live()).alias("accepted"), F.count_if(_live() & (F.col("label_kind") != "none")).alias("labelled"), F.count_if(F.col("stage").eqNullSafe(name)).alias("rejected"), F.count_if(_live() & (F.col("redactions") > 0)).alias("redacted")]
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     """reason ("stage: reason"), n of rejected rows."""
     return rows.where(~_live()).groupBy(F.concat_ws(": ", "stage", "reason").alias("reason")).agg(F.count("*").alias("n"))

@@ -175,6 +175,30 @@ def arrow_records(source, first: int = 0, last: int | None = None) -> Iterator[d
             yield from b.slice(k, 1000).to_pylist()
 
 
+def _measured(batches, root: str, most_total: int, most_record: int) -> Iterator[pa.RecordBatch]:
+    """size, record: the bytes that each packed file has unpacked and those of its longest line, counted a piece at a time up to the limits."""
+    fs, _ = opened(root)
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            size = line = record = 0
+            with fs.open_input_file(opened(path)[1]) as source:
+                unpacked = gzip.GzipFile(fileobj=source)
+                while size <= most_total and record <= most_record and (data := unpacked.read(CHUNK)):
+                    size += len(data)
+                    ends = data.split(b"\n")
+                    line += len(ends[0])
+                    record = max(record, line, *(len(x) for x in ends[1:]))
+                    line = len(ends[-1]) if len(ends) > 1 else line
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([record], pa.int64())], names=["size", "record"])
+
+
+def unpacked_sizes(spark: SparkSession, paths: list[str], most_total: int, most_record: int) -> tuple[int, int]:
+    """Bytes of gzip files when unpacked, and those of their longest line; a file that is above a limit is read no further than it."""
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 200))
+    one = files.mapInArrow(partial(_measured, root=paths[0], most_total=most_total, most_record=most_record), "size long, record long").agg(F.sum("size").alias("size"), F.max("record").alias("record")).first()
+    return one["size"] or 0, one["record"] or 0
+
+
 @dataclass
 class Piece(InputPartition):
     """A file, or the record batches first to last of it; split is its subfolder's name in a dataset of splits."""

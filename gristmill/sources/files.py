@@ -284,8 +284,12 @@ class InputTooLarge(ValueError):
 
 
 def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, max_total_bytes: int = 1 << 40, max_record_bytes: int = 16 << 20) -> int:
-    """The bytes of all files under path; raises InputTooLarge above a limit. Text records are measured by Spark, and so
-    are compressed files, after expansion; a path with links out of it is refused."""
+    """The bytes of all files under path; raises InputTooLarge above a limit, before anything is parsed but to measure records.
+
+    Packed files are unpacked by tasks, a piece at a time, and no further than a limit, so neither a file that grows a
+    thousandfold nor one endless line is ever held. Records of any container are measured then, as JSON lines where they
+    have columns. Links, to files or folders, are refused.
+    """
     root, fs = _fs(spark, path)
     if not fs.exists(root):
         raise FileNotFoundError(path)
@@ -293,7 +297,7 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
     top = os.path.abspath(root.toUri().getPath())
     if local and os.path.islink(top):
         raise InputTooLarge(f"Input must contain only regular files: {path}")
-    files, total = fs.listFiles(root, True), 0
+    files, total, packed = fs.listFiles(root, True), 0, []
     while files.hasNext():
         status = files.next()
         own = status.getPath().toUri().getPath()
@@ -302,13 +306,27 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
         if status.getLen() > max_file_bytes:
             raise InputTooLarge(f"Input exceeds the configured file size limit: {status.getPath()}")
         total += status.getLen()
+        if own.lower().endswith(".gz"):
+            packed.append(status.getPath().toString())
     try:
         kind = path_format(path)
     except ValueError:
         kind = None
-    if kind in ("jsonl", "txt"):
+    if total > max_total_bytes:
+        raise InputTooLarge("Input exceeds the configured expanded size limit")
+    if packed and documents.known(path):
+        size, record = documents.unpacked_sizes(spark, packed, max_total_bytes, max_record_bytes)
+        total = max(total, size)
+        if total <= max_total_bytes and record > max_record_bytes and kind in ("jsonl", "txt", "csv", "tsv"):
+            raise InputTooLarge("Input record exceeds the configured size limit")
+    if total <= max_total_bytes and kind is not None:
+        if kind in ("jsonl", "txt"):
+            rows = spark.read.text(path)
+        else:
+            rows, lines = read_placed(spark, path, kind)
+            rows = rows if lines else as_lines(rows)
         n = F.octet_length("value")
-        found = spark.read.text(path).agg(F.coalesce(F.max(n), F.lit(0)).alias("most"), F.coalesce(F.sum(n + 1), F.lit(0)).alias("total")).first()
+        found = rows.agg(F.coalesce(F.max(n), F.lit(0)).alias("most"), F.coalesce(F.sum(n + 1), F.lit(0)).alias("total")).first()
         if found["most"] > max_record_bytes:
             raise InputTooLarge("Input record exceeds the configured size limit")
         total = max(total, found["total"])

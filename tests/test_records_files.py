@@ -125,6 +125,32 @@ def test_input_guard(spark, tmp_path):
             files.check_input(spark, path, **limits)
 
 
+@pytest.mark.parametrize("name", ["x.json.gz", "x.csv.gz", "x.txt.gz", "x.json", "x.parquet", "x.arrow"])
+def test_guard_of_all_containers(spark, tmp_path, name):
+    """A long record in any container, and packed files that grow: refused by what they hold, not by what they weigh."""
+    path = str(tmp_path / name)
+    df = spark.createDataFrame([("a",), ("x" * 5000,)], "text string")
+    if name == "x.txt.gz":
+        (tmp_path / name).write_bytes(gzip.compress(b"a\n" + b"x" * 5000))
+    else:
+        files.write_dataset(df, path, single=True)
+    assert files.check_input(spark, path) >= 5000
+    with pytest.raises(files.InputTooLarge, match="record"):
+        files.check_input(spark, path, max_record_bytes=1000)
+    if name.endswith("gz"):
+        with pytest.raises(files.InputTooLarge, match="expanded"):
+            files.check_input(spark, path, max_total_bytes=2000)
+
+
+def test_a_bomb_is_not_unpacked(spark, tmp_path, monkeypatch):
+    """50 MB of one line in 50 KB: reading stops at the limit."""
+    (tmp_path / "x.jsonl.gz").write_bytes(gzip.compress(b"0" * 50_000_000))
+    monkeypatch.setattr(spark.read, "text", lambda *a: pytest.fail("parsed"), raising=False)
+    for limits, word in (({"max_total_bytes": 1 << 20}, "expanded"), ({"max_record_bytes": 1 << 20}, "record")):
+        with pytest.raises(files.InputTooLarge, match=word):
+            files.check_input(spark, str(tmp_path / "x.jsonl.gz"), **limits)
+
+
 def test_partition_and_merge(spark, tmp_path):
     df = spark.createDataFrame([(k, f"row {k}", k % 3 if k < 27 else None) for k in range(30)], "id long, text string, label long")
     assert files.partition_files(df, str(tmp_path / "parts"), 3, "label", "id") == [0, 1, 2]
