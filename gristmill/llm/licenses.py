@@ -75,19 +75,40 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 #: Equivalent spellings, after lower-casing and removal of punctuation.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "copyright holder": "copyright owner", "copyright holders": "copyright owners", "acknowledgement": "acknowledgment", "organisation": "organization", "recognise": "recognize", "favour": "favor", "https": "http", "merchantibility": "merchantability", "redistribution s": "redistributions"}
 
-#: Whole lines that name a holder or year, or only title a licence, are no part of its text. Lines of the text itself may
-#: begin with the word or with (c) where it is wrapped: a year or sign must follow, or the line stands at the head.
+#: Whole lines that name a holder with a year or sign, or only title a licence, are no part of its text.
 _NO_WORD = r"[^\p{L}\p{N}\n]*"
-_HEAD = r"\A[^\p{L}\p{N}]*((the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*)?"
-_HOLDER = r"(copyright\b|\(c\))[^\n]*"
-_COPYRIGHT = rf"(?m){_HEAD}{_HOLDER}(\n[^\p{{L}}\p{{N}}]*{_HOLDER}){{0,50}}|^{_NO_WORD}(copyright{_NO_WORD}(\(c\)|©|[0-9]{{4}}|<year>|\[yyyy\])|\(c\){_NO_WORD}(copyright\b|[0-9]{{4}})|©|all rights reserved|spdx-license-identifier)[^\n]*$"
-_TITLE = r"(?m)^[^\p{L}\p{N}\n]*(the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e[^\p{L}\p{N}\n]*$"
-
-
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright and title lines and punctuation, words one space apart, in one spelling; null is empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(F.regexp_replace(out, _COPYRIGHT, ""), _TITLE, "")
+_COPYRIGHT = rf"(?m)^{_NO_WORD}(copyright{_NO_WORD}(\(c\)|©|[0-9]{{4}}|<year>|\[yyyy\])|\(c\){_NO_WORD}(copyright\b|[0-9]{{4}})|©|all rights reserved|spdx-license-identifier)[^\n]*$"
+_NAMED = r"(the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e"
+_TITLE = rf"(?m)^{_NO_WORD}{_NAMED}({_NO_WORD}\([a-z0-9 .-]{{2,20}}\))?{_NO_WORD}$"
+#: Numbers, letters and bullets of lists.
+_MARKER = r"(?m)^[^\p{L}\p{N}\n]*\(?([0-9]{1,2}|[a-z])[.)][ \t]+"
+#: How the head of a licence begins, before its opening words; other texts that quote a licence at their end aren't one.
+_HEAD = rf"\A[^\p{{L}}\p{{N}}©]*(©|copyright|c\)|{_NAMED})"
+#: Words that a text must have for its opening to be looked for, and characters of a head's line at most.
+_WHOLE, _LINE = 25, 160
+
+
+def opening(texts: dict[str, str]) -> str:
+    """A pattern of the first four words of every known text that is no mere line."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    first = sorted({tuple(w[:4]) for w in map(split, texts.values()) if len(w) >= _WHOLE})
+    return "|".join(r"[^\p{L}\p{N}]+".join(w) for w in first) or r"\A\b\B"
+
+
+def without_head(text: Column, texts: dict[str, str]) -> Column:
+    """A lower-case text from its licence's opening words on, where what is ahead of them reads as a head: it begins with a
+    title or a copyright, and has no line of prose. Holders may go on over any number of lines."""
+    at = F.regexp_instr(text, F.lit(opening(texts)))
+    head = F.substring(text, F.lit(1), at - 1)
+    strip = (at > 1) & F.rlike(head, F.lit(_HEAD)) & ~F.rlike(head, F.lit(rf"[^\n]{{{_LINE + 1}}}"))
+    return F.when(strip, F.substring(text, at, F.char_length(text))).otherwise(text)
+
+
+def canonical(text: Column, texts: dict[str, str] | None = None) -> Column:
+    """Lower case, without head, copyright and title lines, marks of lists and punctuation, words one space apart, in one spelling; null is empty."""
+    out = without_head(F.lower(F.coalesce(text, F.lit(""))), KNOWN if texts is None else texts)
+    for pattern in (_COPYRIGHT, _TITLE, _MARKER):
+        out = F.regexp_replace(out, pattern, "")
     # two spaces between words, so that each word of a row of equal ones has spaces of its own to match
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for a, b in sorted(SPELLINGS.items(), key=lambda x: " " in x[0]):  # words first, then phrases
@@ -98,7 +119,7 @@ def canonical(text: Column) -> Column:
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """license, digest of each known text; one name for each digest, the first by name."""
     rows = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "license string, text string")
-    rows = rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = rows.select("license", F.sha2(canonical(F.col("text"), texts), 256).alias("digest"))
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -112,7 +133,7 @@ def license_scan(docs: DataFrame, texts: dict[str, str] | None = None, most: int
     """
     n = len(KNOWN if texts is None else texts)
     side = known(docs.sparkSession, texts)
-    text = canonical(F.col(text_col))
+    text = canonical(F.col(text_col), texts)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_gm_text"))
     rows = rows.select("doc_id", F.sha2("_gm_text", 256).alias("digest"), (F.col("_gm_text") != "").alias("_gm_any"))
     out = rows.join(F.broadcast(side) if n <= most else side, "digest", "left")

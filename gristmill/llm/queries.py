@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +87,21 @@ def _literal(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"lower(coalesce({text}, ''))"
-    for pattern in (licenses._COPYRIGHT, licenses._TITLE):
-        out = f"regexp_replace({out}, {_literal(pattern)}, '', 'g')"
+    """The canonical form, line by line: lists of words and signs of its own instead of the operator's patterns."""
+    t = f"lower(coalesce({text}, ''))"
+    openings = [w[:4] for w in (re.findall("[^\\W_]+", x.lower()) for x in licenses.KNOWN.values()) if len(w) >= 25]
+    first = "|".join("[^\\p{L}\\p{N}]+".join(w) for w in openings)
+    head = f"regexp_extract(low, {_literal(f'(?s)^(.*?)(?:{first})')}, 1)"
+    bare = "regexp_replace(h, '^[^\\p{L}\\p{N}©]+', '')"
+    named = "regexp_matches(hw, '^(the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e')"
+    t = f"(SELECT CASE WHEN regexp_matches(low, {_literal(first)}) AND h <> '' AND (starts_with(hw, '©') OR starts_with(hw, 'copyright') OR starts_with(hw, 'c)') OR {named}) AND list_max(list_transform(string_split(h, chr(10)), lambda x: length(x))) <= 160 THEN substr(low, length(h) + 1) ELSE low END FROM (SELECT *, {bare} AS hw FROM (SELECT low, {head} AS h FROM (SELECT {t} AS low))))"
+    word = "regexp_replace(x, '^[^\\p{L}\\p{N}]+', '')"
+    # a line goes if it begins with a sign, or with a word that a year or sign follows, or if it is a title
+    signs = "starts_with(regexp_replace(s.x, '^[^\\p{L}\\p{N}©]+', ''), '©') OR starts_with(s.w, 'all rights reserved') OR starts_with(s.w, 'spdx-license-identifier')"
+    year = "regexp_matches(s.w, '^copyright[^\\p{L}\\p{N}]*([0-9]{4}|\\(c\\)|©|<year>|\\[yyyy\\])') OR regexp_matches(s.x, '^[^\\p{L}\\p{N}]*\\(c\\)[^\\p{L}\\p{N}]*(copyright\\b|[0-9]{4})')"
+    title = "regexp_full_match(s.w, '(the )?[a-z0-9.-]{2,12}( [0-9]-clause)? licen[cs]e([^\\p{L}\\p{N}]*\\([a-z0-9 .-]{2,20}\\))?[^\\p{L}\\p{N}]*')"
+    kept = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: {{'x': x, 'w': {word}}}), lambda s: NOT ({' OR '.join((signs, year, title))}))"
+    out = f"array_to_string(list_transform({kept}, lambda s: regexp_replace(s.x, '^[^\\p{{L}}\\p{{N}}]*\\(?([0-9]{{1,2}}|[a-z])[.)][ \\t]+', '')), chr(10))"
     words = {a: b for a, b in licenses.SPELLINGS.items() if " " not in a}
     case = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words.items())
     out = f"list_transform(string_split(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: CASE w {case} ELSE w END)"

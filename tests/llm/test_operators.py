@@ -423,6 +423,19 @@ def test_wrapped_licenses(spark):
     assert got(out, "doc_id", "license") == Counter({(k, n): len(heads) for k, n in enumerate(names)})
 
 
+def test_common_heads_of_licenses(spark):
+    """Titles with names in brackets, holders on any number of lines, numbers or bullets; a text that only ends with a licence is none."""
+    mit, bsd = licenses.KNOWN["MIT"], licenses.KNOWN["BSD-3-Clause"]
+    heads = ["The MIT License (MIT)\n\nCopyright (c) 2015 Some One\n\n", "MIT License\n\nCopyright (c) 2015\n  Some One and the\n  other authors <a@b.org>\n\n", "".join(f"Copyright (c) {1950 + k} Holder {k}\n" for k in range(120)) + "\n"]
+    heads += ["Copyright Some One, without a year\n", "© 2020 Some One\n", "/*\n * Copyright (C) 2001 A\n * and B\n */\n", "(c) Some One\n"]
+    rows = [(k, h + mit) for k, h in enumerate(heads)]
+    rows += [(100, re.sub(r"(?m)^[0-9]\. ", "* ", bsd)), (101, re.sub(r"(?m)^([0-9])\. ", r"(\1) ", bsd)), (102, "BSD 3-Clause License\n\nCopyright (c) 2017, Some One\nAll rights reserved.\n\n" + re.sub(r"(?m)^[0-9]\. ", "- ", bsd))]
+    rows += [(200, "An essay on rights.\n" + mit), (201, "Copyright 2020 A\n" + "prose " * 60 + "\n" + mit), (202, mit[:-40]), (203, "The MIT License (MIT)"), (204, "x\n" * 20_000 + mit)]
+    found = {r.doc_id: r.license for r in licenses.license_scan(make(spark, [(d, t, "en", "a") for d, t in rows])).collect()}
+    assert [found[k] for k in range(len(heads))] == ["MIT"] * len(heads)
+    assert {found[k] for k in (100, 101, 102)} == {"BSD-3-Clause"} and {found[k] for k in range(200, 205)} == {None}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for x in a:
