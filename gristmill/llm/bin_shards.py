@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cells, cut, running_sum
+from .common import bounded_batches, cells, cut, free_name, running_sum
 
 
 class RemainingTree:
@@ -115,8 +115,13 @@ def assign(docs: DataFrame, shards: int = 40, most_items: int = 1 << 16, id_col:
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 40, files: int = 1, id_col: str = "doc_id", **options) -> None:
-    """Write docs as Parquet, a folder shard=N for each shard, of `files` files each. Rows are matched by id, which must be unique."""
-    where = assign(docs, shards, id_col=id_col, **options).select(F.col("doc_id").alias("_gm_id"), "shard")
+    """Write docs as Parquet, a folder shard=N for each shard, of `files` files each. Rows are numbered in a work table, so
+    those of one id, or of none, are each written once; columns as they are, but for one of the name shard, which would clash."""
+    if "shard" in docs.columns:
+        raise ValueError("docs has a column shard: the folders' names would hide it")
+    row, file = free_name(docs, "_gm_row"), free_name(docs, "_gm_file")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "bins-write")
+    where = assign(rows, shards, id_col=row, **options).select(F.col("doc_id").alias(row), "shard")
     bounded_batches(docs.sparkSession)
-    rows = docs.join(where, docs[id_col].eqNullSafe(F.col("_gm_id"))).drop("_gm_id")
-    rows.withColumn("_gm_file", F.pmod(F.xxhash64(id_col), F.lit(files))).repartition(shards * files, "shard", "_gm_file").drop("_gm_file").write.partitionBy("shard").parquet(folder)
+    placed = rows.join(where, row).withColumn(file, F.pmod(F.xxhash64(row), F.lit(files))).drop(row)
+    placed.repartition(shards * files, "shard", file).drop(file).write.partitionBy("shard").parquet(folder)

@@ -65,6 +65,13 @@ def kind(df: DataFrame, column: str) -> str:
     return df.select(column).schema[0].dataType.simpleString()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def one_of_each(docs: DataFrame, keys: list[Column], length: Column) -> DataFrame:
     """One row of those with equal keys: the longest, and of equally long ones any. Columns as they are."""
     own = [f"_gm_k{k}" for k in range(len(keys))]

@@ -106,10 +106,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     return rows.select(*names, "size", F.col("_gm_size").alias("source_size"), F.col("_gm_target").alias("target"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), _finish(0).alias("finish"))
 
 
-def mixed_corpus(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, columns as in docs; ordered: sorted by virtual finish time."""
-    mixed = mix(docs, **options).where("copies > 0")
+def mixed_corpus(docs: DataFrame, ordered: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mixture itself: each document as often as it is taken, columns as in docs, whatever their names; ordered: sorted by virtual finish time."""
+    other = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c.startswith("_gm_") or c in ("size", "source_size", "target", "copies", "taken", "finish")}
+    mixed = mix(docs.withColumnsRenamed(other), id_col=id_col, source_col=source_col, text_col=text_col, **options).where("copies > 0")
     rows = mixed.withColumn("_gm_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     if ordered:
         rows = rows.orderBy(F.col("finish") + F.col("_gm_copy") * F.col("source_size") / F.col("target"))
-    return rows.select(*docs.columns)
+    return rows.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))

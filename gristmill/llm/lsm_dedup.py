@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, kind, new_path, one_of_each
+from .common import SPACE, cut, free_name, kind, new_path, one_of_each
 
 
 def normalised(text: Column) -> Column:
@@ -150,18 +150,19 @@ def _pick(out: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, see exact_groups; columns as they are."""
-    mine, key = docs.withColumn("_gm_digest", sha256(normalised(F.col(text_col)))), [F.col("doc_id"), F.col("digest")]
+    """One row of each group of equal texts, see exact_groups; columns as they are, whatever their names."""
+    own = free_name(docs, "_gm_digest")
+    mine, key = docs.withColumn(own, sha256(normalised(F.col(text_col)))), [F.col("doc_id"), F.col("digest")]
     seen = cut(exact_groups(docs, id_col, text_col).where("group_size > 1"), "lsm-groups")
     by = seen.groupBy(*key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
 
     def on(found: DataFrame):
-        return docs[id_col].eqNullSafe(found["doc_id"]) & (mine["_gm_digest"] == found["digest"])
+        return docs[id_col].eqNullSafe(found["doc_id"]) & (mine[own] == found["digest"])
 
     gone = by.where("not kept")
     out = mine.join(gone, on(gone), "left_anti")
     again = by.where("kept and n > 1")  # one id and one text in several rows
     if not again.isEmpty():
-        once = one_of_each(out.join(again, on(again), "left_semi"), [F.col(id_col), F.col("_gm_digest")], F.char_length(F.coalesce(text_col, F.lit(""))))
+        once = one_of_each(out.join(again, on(again), "left_semi"), [F.col(id_col), F.col(own)], F.char_length(F.coalesce(text_col, F.lit(""))))
         out = out.join(again, on(again), "left_anti").unionByName(once)
-    return out.drop("_gm_digest")
+    return out.drop(own)

@@ -312,11 +312,13 @@ def _score_batches(batches, model: bytes):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist(), unpack))], names=["doc_id", "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 3000, landmarks: int = 256, most_chars: int = 200_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 3000, landmarks: int = 256, most_chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
     """Fit on a bounded sample of labelled rows: at most most_toxic and most_clean of them, the first by a hash of their
     ids, and of these the first until their whole texts have most_chars characters.
 
-    Rows without a label or a document are left out; a repeated label row counts once. The sample goes to one task, and
+    Rows without a label or a document are left out; a repeated label row counts once, and so does a repeated id among the
+    documents, by the longest of its texts. Columns other than those named don't matter. The sample goes to one task, which
+    needs about 30 bytes a character for it, and
     the model (a few MB at most) to the driver. Ids may have any type; if the two tables' types differ, and one is no
     integer, they are compared as text. Without rows of both labels, all texts get one low score.
     """
@@ -327,7 +329,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     parts = [rows.where(c).orderBy(key, "_gm_id").limit(n) for c, n in ((F.col("_gm_label") > 0, most_toxic), (F.col("_gm_label") <= 0, most_clean))]
     chosen = parts[0].unionByName(parts[1])
     bounded_batches(docs.sparkSession)
-    texts = docs.join(F.broadcast(chosen), docs[id_col].cast(as_id) == F.col("_gm_id")).select(F.col(text_col).alias("text"), F.when(F.col("_gm_label") > 0, 1).otherwise(0).alias("label"), key.alias("_gm_key"))
+    own = docs.select(F.col(id_col).cast(as_id).alias("_gm_id"), F.col(text_col).alias("text"))
+    own = own.join(F.broadcast(chosen), "_gm_id").groupBy("_gm_id", "_gm_label").agg(F.max_by("text", F.char_length(F.coalesce("text", F.lit("")))).alias("text"))
+    texts = own.select("text", F.when(F.col("_gm_label") > 0, 1).otherwise(0).alias("label"), key.alias("_gm_key"))
     texts = texts.repartition(1).sortWithinPartitions("_gm_key").select("text", "label")
     found = texts.mapInArrow(partial(_fit_batches, landmarks=landmarks, most_chars=most_chars), "model binary").first()
     return bytes(found["model"]) if found else fit([], [])

@@ -308,3 +308,42 @@ def test_hot_ids_and_nulls_in_token_files(spark):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     spread = token_files._by_id_range(make(spark, rows).select("doc_id", "text")).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert max(r.n for r in spread) < 120
+
+
+def stages_of(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, tables, tmp_path):
+    """An empty table runs through all stages; repeated rows, null ids, and columns with the operators' own names make no more documents."""
+    docs = make(spark, tables[1])
+    (tmp_path / "none").mkdir(), (tmp_path / "twice").mkdir()
+    assert stages_of(spark, docs.limit(0), tmp_path / "none") == []
+    odd = docs.withColumns({"_gm_digest": F.lit("x"), "_gm_id": F.lit(1), "_gm_row": F.lit(2), "key": F.lit("k"), "kept": F.lit(True)})
+    twice = odd.unionByName(odd).unionByName(odd.where("doc_id % 10 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    found = stages_of(spark, twice, tmp_path / "twice")
+    texts = {d for d, *_ in tables[1]}
+    assert found and {r.doc_id for r in found} <= texts
+    copies = Counter(r.doc_id for r in found if r.start == 0)
+    assert max(copies.values()) <= 2
+
+
+def test_own_columns_and_repeated_ids(spark, tmp_path):
+    """Columns with the names that operators use stay as they are; rows of one id are told apart."""
+    line = "this line is said in every one of these documents"
+    rows = [(k, f"{line}\nown words of number {k} and nothing more", 7 + k, f"d{k}", 100 + k, "x") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gm_row long, _gm_digest string, _gm_id long, _gm_dropped string")
+    out = line_dedup.drop_lines(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r._gm_row, r._gm_digest, r._gm_id) for r in out.collect()) == [(r[0], r[2], r[3], r[4]) for r in rows]
+    assert sum(line in r.text for r in out.collect()) == 1
+    assert sorted(tuple(r) for r in lsm_dedup.exact_dedup(df.unionByName(df)).collect()) == sorted(rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)] + [(None, 1)], "doc_id long, toxic int")
+    again = df.unionByName(df.where("doc_id < 2").withColumn("text", F.lit("short")))
+    assert toxicity.train(again, labels) == toxicity.train(df.select("doc_id", "text"), labels)
+    same = df.withColumn("doc_id", F.when(F.col("doc_id") > 2, 1))
+    bin_shards.write_shards(same, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r._gm_row, r.text) for r in back.collect()) == sorted((r[2], r[1]) for r in rows)
+    with pytest.raises(ValueError, match="shard"):
+        bin_shards.write_shards(df.withColumn("shard", F.lit(1)), str(tmp_path / "t"))
