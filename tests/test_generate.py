@@ -210,10 +210,10 @@ def test_accuracy_gate(spark):
     same = gate.evaluate_accuracy_gain(good, good, held, "id", "text", "label", seeds=(1,), epochs=2)
     assert not same["accepted"] and same["accuracy_gain"] == 0.0
     assert gate.meets_relative(0.1, 0.0, 5) and not gate.meets_relative(0.0, 0.0, 0) and gate.meets_relative(0.55, 0.5, 0.1 - 1e-9)
-    for seeds, kw, word in (((), {}, "seed"), ((1,), {"minimum_gain": 0.1, "minimum_relative_gain": 0.1}, "either"), ((1,), {"minimum_relative_gain": -1}, "zero or positive")):
+    for seeds, kw, word in (((), {}, "seed"), ((1,), {"minimum_gain": 0.1, "minimum_relative_gain": 0.1}, "absolute gain or a relative"), ((1,), {"minimum_relative_gain": -1}, "zero or more")):
         with pytest.raises(ValueError, match=word):
             gate.evaluate_accuracy_gain(good, good, held, "id", "text", "label", seeds=seeds, **kw)
-    with pytest.raises(ValueError, match=r"missing from a training condition: \['0'\]"):
+    with pytest.raises(ValueError, match=r"can't learn: \{'0': \['candidate'\]\}"):
         gate.evaluate_accuracy_gain(good, good.where("label = '1'"), held, "id", "text", "label", seeds=(1,))
 
 
@@ -222,8 +222,9 @@ def test_gated_generation_reports_the_best_pool(spark):
     pool, found = gate.gated_generation(rows, held, "id", "text", "label", OfflineProvider(), max_iterations=2, seeds=(1,), epochs=1, least_confidence=0.0)
     assert not found["passed"] and found["iterations_used"] == 2 and pool.count() >= 24
     assert found["final_accuracy"] == max(x["accuracy"] for x in found["per_iteration"])
-    hint = gate.generation_hint(["1"], {"1": ["snow"]}, {"1": 0.2}, {"1": 0.5})
-    assert "20.0%, 50.0%" in hint and "- snow" in hint and gate.generation_hint([], {}, {}, {}) == ""
+    known = gate.guidance(["1", "2"], {"1": ["snow" * 200]}, {"1": 0.2}, {"1": 0.5})
+    assert known == [{"label": "1", "share": 0.2, "wanted_share": 0.5, "taken_for_another": [("snow" * 200)[:300]]}, {"label": "2", "share": 0.0, "wanted_share": None, "taken_for_another": []}]
+    assert json.loads(gate.hint(known)) == {"strengthen": known} and gate.hint([]) == ""
     assert gate.weak_labels({"per_label_accuracy": {"b": 0.5, "a": 0.5, "c": 0.1}}, 2) == ["c", "a"]
 
 
