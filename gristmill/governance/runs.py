@@ -99,7 +99,7 @@ class RunRegistry:
         """A new run of the same specification, child of one that ended without success."""
         old = self.get(run_id)
         if old["status"] not in RESUMABLE:
-            raise RunConflict("Only failed, cancelled, or interrupted runs can be resumed")
+            raise RunConflict("a run goes on only after it failed or was cancelled or interrupted")
         return self.submit(old["project"], json.loads(old["spec"]), actor, parent=run_id)
 
     def latest(self, project: str, limit: int = 100) -> DataFrame:
@@ -115,9 +115,9 @@ class RunRegistry:
     def publish(self, run_id: str, artifacts: dict[str, str], metrics: dict, need_gain: bool = False) -> dict:
         """End a run well: its manifest has each artifact's path and digest. output, rejected and report are required."""
         if missing := {"output", "rejected", "report"} - set(artifacts):
-            raise RunConflict(f"Manifest is missing required artifacts: {sorted(missing)}")
+            raise RunConflict(f"missing required files: {sorted(missing)}")
         if need_gain and not (metrics.get("accuracy_gate") or {}).get("accepted"):
-            raise RunConflict("Required accuracy gate is absent or did not pass")
+            raise RunConflict("the accuracy gate was asked for and is not passed")
         manifest = {"run_id": run_id, "artifacts": {k: {"path": v, "sha256": path_digest(self.spark, v)} for k, v in artifacts.items()}, "metrics": metrics}
         self.move(run_id, "succeeded", detail=manifest)
         return manifest
@@ -126,11 +126,11 @@ class RunRegistry:
         """Whether a published run's artifacts are what they were."""
         run = self.get(run_id)
         if run["status"] != "succeeded":
-            raise RunConflict("Run has no published artifacts")
+            raise RunConflict("nothing has been published by this run")
         manifest = json.loads(run["detail"])
         for item in manifest["artifacts"].values():
             if path_digest(self.spark, item["path"]) != item["sha256"]:
-                raise RunConflict("Artifact integrity verification failed")
+                raise RunConflict("integrity: a file is not what was published")
         return {"run_id": run_id, "verified": True, "artifacts": len(manifest["artifacts"])}
 
 

@@ -38,7 +38,7 @@ def path_format(path: str) -> str:
     packed = name.endswith(".gz")
     kind = SUFFIXES.get(name.removesuffix(".gz").rpartition(".")[2])
     if kind is None or packed and kind not in GZIPPED:
-        raise ValueError(f"Unsupported dataset format: {path}")
+        raise ValueError(f"Unsupported dataset format: {path}")  # fixed value
     return kind
 
 
@@ -296,15 +296,15 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
     local = fs.getUri().getScheme() == "file"
     top = os.path.abspath(root.toUri().getPath())
     if local and os.path.islink(top):
-        raise InputTooLarge(f"Input must contain only regular files: {path}")
+        raise InputTooLarge(f"no regular files, a link: {path}")
     files, total, packed = fs.listFiles(root, True), 0, []
     while files.hasNext():
         status = files.next()
         own = status.getPath().toUri().getPath()
         if status.isSymlink() or local and os.path.realpath(own) != os.path.join(os.path.realpath(top), os.path.relpath(own, top)).removesuffix("/."):
-            raise InputTooLarge(f"Input must contain only regular files: {status.getPath()}")
+            raise InputTooLarge(f"no regular files, a link: {status.getPath()}")
         if status.getLen() > max_file_bytes:
-            raise InputTooLarge(f"Input exceeds the configured file size limit: {status.getPath()}")
+            raise InputTooLarge(f"above the limit of a file size: {status.getPath()}")
         total += status.getLen()
         if own.lower().endswith(".gz"):
             packed.append(status.getPath().toString())
@@ -313,12 +313,12 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
     except ValueError:
         kind = None
     if total > max_total_bytes:
-        raise InputTooLarge("Input exceeds the configured expanded size limit")
+        raise InputTooLarge("above the limit of all data, expanded")
     if packed and documents.known(path):
         size, record = documents.unpacked_sizes(spark, packed, max_total_bytes, max_record_bytes)
         total = max(total, size)
         if total <= max_total_bytes and record > max_record_bytes and kind in ("jsonl", "txt", "csv", "tsv"):
-            raise InputTooLarge("Input record exceeds the configured size limit")
+            raise InputTooLarge("a record above the limit of its size")
     if total <= max_total_bytes and kind is not None:
         if kind in ("jsonl", "txt"):
             rows = spark.read.text(path)
@@ -328,10 +328,10 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
         n = F.octet_length("value")
         found = rows.agg(F.coalesce(F.max(n), F.lit(0)).alias("most"), F.coalesce(F.sum(n + 1), F.lit(0)).alias("total")).first()
         if found["most"] > max_record_bytes:
-            raise InputTooLarge("Input record exceeds the configured size limit")
+            raise InputTooLarge("a record above the limit of its size")
         total = max(total, found["total"])
     if total > max_total_bytes:
-        raise InputTooLarge("Input exceeds the configured expanded size limit")
+        raise InputTooLarge("above the limit of all data, expanded")
     return total
 
 
@@ -357,7 +357,7 @@ def partition_files(df: DataFrame, folder: str, n: int, label: str | None = None
     root, fs = _fs(spark, folder)
     found = sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root) if s.getPath().getName().startswith("partition="))
     if not found:
-        raise ValueError(f"No rows found for {folder}")
+        raise ValueError(f"No rows found for {folder}")  # fixed value
     return found
 
 

@@ -98,7 +98,7 @@ def test_classify_whole_calls(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, " "), (4, None)], "id long, text string").coalesce(1)
     got = {r.id: r for r in generate.classify(df, "id", "text", Partial(), "binary", ["a", "b"], batch=1).collect()}
     assert (got[1].labels, got[1].classification_error) == (["a"], None)
-    assert "outside the allowed set: ['other']" in got[2].classification_error and got[3].classification_error == got[4].classification_error == "No classifiable text found."
+    assert "labels that are no classes: ['other']" in got[2].classification_error and got[3].classification_error == got[4].classification_error == "No classifiable text found."
     together = {r.id: r.labels for r in generate.classify(df, "id", "text", Partial(), "binary", ["a", "b"]).collect()}
     assert together[1] is None
     for task, classes, word in (("binary", ["a"], "exactly two"), ("multi-class", ["a", "b"], "at least three"), ("multi-label", ["a", " a"], "at least two")):
