@@ -1,16 +1,18 @@
 """The order of the input over files, splits and arguments; rows without, of equal and of repeated keys."""
 
 import json
+import random
+import shutil
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import analysis, generate, metrics
+from gristmill.operators import analysis, dedup, generate, metrics
 from gristmill.plans import pipeline
 from gristmill.providers.offline import OfflineProvider
 from gristmill.sources import files
-from gristmill.streaming.incremental import append_new
+from gristmill.streaming.incremental import append_near, append_new
 
 
 def write(path, names):
@@ -120,3 +122,30 @@ def test_stream_of_null_and_equal_orders(spark, tmp_path):
     for _ in range(2):
         append_new(spark.readStream.schema("o long, text string").parquet(source), target, str(tmp_path / "ck"), "o").awaitTermination()
     assert sorted((str(r.o), r.text) for r in spark.read.parquet(target).collect()) == [("5", "y"), ("None", "x"), ("None", "z")]
+
+
+def test_near_dedup_of_a_stream_is_that_of_a_batch(spark, tmp_path):
+    """Three batches in order give what near_keep gives for all rows; a batch that comes again adds nothing."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(90):
+        base = list(rng.choice(texts)) if texts and rng.random() < 0.5 else [rng.choice(words) for _ in range(80)]
+        if rng.random() < 0.6:
+            base[rng.randrange(80)] = rng.choice(words)
+        texts.append(base)
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)] + [(90, None), (91, ""), (92, "a b")]
+    whole = spark.createDataFrame(rows, "o long, text string")
+    want = sorted(r.ord for r in dedup.near_keep(whole, "o", "text", 0.7).where("keep").collect())
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for k in range(3):
+        spark.createDataFrame(rows[31 * k : 31 * k + 31], "o long, text string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("o long, text string").parquet(str(source))
+        append_near(stream, target, str(tmp_path / "ck"), "o", t=0.7).awaitTermination()
+    found = spark.read.parquet(f"{target}/rows")
+    assert sorted(r.o for r in found.collect()) == want and 10 < len(want) < 80
+    append_near(spark.readStream.schema("o long, text string").parquet(str(source)), target, str(tmp_path / "ck"), "o", t=0.7).awaitTermination()
+    assert found.count() == len(want)
+    shutil.rmtree(tmp_path / "ck")  # all comes again, as one batch of number 0, in place of what was there
+    append_near(spark.readStream.schema("o long, text string").parquet(str(source)), target, str(tmp_path / "ck"), "o", t=0.7).awaitTermination()
+    assert sorted(r.o for r in spark.read.parquet(f"{target}/rows/batch=0").collect()) == want
