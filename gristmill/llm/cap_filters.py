@@ -101,6 +101,18 @@ def _filtered(batches, p: Plan) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "vector")), filters], names=["node", "n", "vector", "filters"])
 
 
+def _counted(linked: np.ndarray, lists: pa.ListArray, this: int) -> np.ndarray:
+    """Of the links of a connected group those whose two vectors pass no filter before this one together."""
+    owner, number = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    owner, number = owner[number < this], number[number < this]
+    _, column, times = np.unique(number, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    passes = np.zeros((len(lists), column.max() + 1 if len(column) else 0), np.float32)
+    passes[owner, column] = 1
+    return linked & (passes @ passes.T == 0)
+
+
 def _compared(held: list[pa.RecordBatch], least: float) -> pa.RecordBatch | None:
     """node, links (weighted by copies) and root (a node of the piece that it is connected to) of the vectors of one piece that have links.
 
@@ -122,17 +134,6 @@ def _compared(held: list[pa.RecordBatch], least: float) -> pa.RecordBatch | None
         return None
     at = np.flatnonzero(has)
     linked, node, n = linked[np.ix_(at, at)], node[at], n[at]
-    lists = whole.column("filters").chunk(0).take(pa.array(at))
-    owner = np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy())
-    number = lists.flatten().to_numpy()
-    owner, number = owner[number < this], number[number < this]
-    own, column, times = np.unique(number, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    passes = np.zeros((len(at), column.max() + 1 if len(column) else 0), np.float32)
-    passes[owner, column] = 1
-    counted = linked & (passes @ passes.T == 0)
-    links = counted @ n.astype(np.float64)
     label = np.arange(len(at))
     while True:  # the least row of each connected group
         new = np.minimum(label, np.where(linked, label[None, :], len(at)).min(axis=1))
@@ -140,6 +141,10 @@ def _compared(held: list[pa.RecordBatch], least: float) -> pa.RecordBatch | None
         if (new == label).all():
             break
         label = new
+    lists, links = whole.column("filters").chunk(0).take(pa.array(at)), np.zeros(len(at))
+    order = np.argsort(label, kind="stable")
+    for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        links[g] = _counted(linked[np.ix_(g, g)], lists.take(pa.array(g)), this) @ n[g].astype(np.float64)
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(node[label])], names=["node", "links", "root"])
 
 
