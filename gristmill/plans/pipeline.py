@@ -21,7 +21,7 @@ from ..plugins import recogniser_patterns, validator_errors
 from ..providers.base import Calls, Embedder, Provider, create_provider
 from ..providers.offline import HashedNgrams
 from ..report import html_report, metrics_text, summarise
-from ..sources import files
+from ..sources import documents, files
 
 STAGES = ("validate", "pii", "profile", "dedup", "score_refine", "filter", "classify")
 #: Reasons that a report spells out; all others are one number there, and a table (RunResult.reason_counts).
@@ -282,7 +282,7 @@ class Run:
         """All stages over prepared rows. With a folder, whole stages found there under the same fingerprint are not done
         again, and of a stage that was stopped no record that the provider has answered for is asked again."""
         spark = rows.sparkSession
-        self.calls = replace(self.calls, ledger=f"{folder}/answers" if folder else None)
+        self.calls = replace(self.calls, ledger=f"{documents.qualified(spark, folder)}/answers" if folder and documents.known(documents.qualified(spark, folder)) else None)
         state = {"fingerprint": fingerprint, "completed": [], "profile": None, "metrics": {"stages": {}}}
         if folder and (text := files.read_text(spark, f"{folder}/state.json")):
             state = json.loads(text)

@@ -15,9 +15,12 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.documents import opened
+
 
 class Ledger:
-    """The answers of one stage. folder must be shared by all executors, on a file system that pyarrow knows."""
+    """The answers of one stage. folder must be shared by all executors, on a file system that pyarrow knows, and named with it
+    (see documents.qualified) unless it is a local one."""
 
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
@@ -25,7 +28,7 @@ class Ledger:
         self._open()
 
     def _open(self) -> tuple[pafs.FileSystem, str]:
-        return pafs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (pafs.LocalFileSystem(), self.folder)
+        return opened(self.folder)
 
     def append(self, part: int, answers: pa.Table) -> None:
         """Keep answers of a task of this run: files whose names begin with _ are not read until they are whole."""

@@ -30,8 +30,14 @@ SPLIT = "split"
 SCHEMA = "value string, _gm_file string, _gm_block long, _gm_at long"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as Spark resolves it: workers know neither the default file system nor the driver's folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def known(path: str) -> bool:
-    """Whether workers can open a path themselves."""
+    """Whether workers can open a qualified path themselves."""
     try:
         opened(path)
         return True
@@ -272,7 +278,7 @@ class Documents(DataSource):
 def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """value (a JSON line a record), and its place: file, first record batch of the piece, row in the piece."""
     spark.dataSource.register(Documents)
-    return spark.read.format("gristmill_documents").option("path", path).option("kind", kind).load()
+    return spark.read.format("gristmill_documents").option("path", qualified(spark, path)).option("kind", kind).load()
 
 
 def _part_writer(batches, folder: str, kind: str, packed: bool) -> Iterator[pa.RecordBatch]:
@@ -341,7 +347,9 @@ def write_document(rows: DataFrame, temp: str, kind: str, packed: bool) -> None:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark, folder = rows.sparkSession, f"{temp}.parts"
+    spark = rows.sparkSession
+    temp = qualified(spark, temp)
+    folder = f"{temp}.parts"
     schema = to_arrow_schema(rows.schema) if kind == "arrow" else None
     lines = rows if kind == "arrow" else rows.select(F.to_json(F.struct(*(f"`{c}`" for c in rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
     parts = lines.mapInArrow(partial(_part_writer, folder=folder, kind=kind, packed=packed), "number int, path string").collect()

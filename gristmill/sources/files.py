@@ -122,7 +122,7 @@ def read_placed(spark: SparkSession, path: str, fmt: str | None = None, arg: int
     at = F.monotonically_increasing_id().alias("_gm_at")
     block = [F.col("_metadata.file_path").alias("_gm_file"), F.col("_metadata.file_block_start").alias("_gm_block")]
     if kind in ("json", "yaml", "arrow", "dataset"):
-        if documents.known(path):
+        if documents.known(documents.qualified(spark, path)):
             return documents.read_documents(spark, path, kind).withColumn("_gm_arg", F.lit(arg)), True
         read = partial(_documents, kind=kind) if kind in ("json", "yaml") else _arrow_lines
         rows = _whole(spark, path, "*.arrow" if kind == "dataset" else None).mapInArrow(read, "value string, _gm_file string, _gm_at long")
@@ -246,7 +246,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str | None = None, single: bool
         name = "classify_text" if "classify_text" in df.columns else "text"
         rows.select(F.translate(F.coalesce(F.col(name).cast("string"), F.lit("")), "\r\n", "  ").alias("value")).write.option("compression", "gzip" if packed else "none").text(temp)
     elif kind in ("json", "yaml", "arrow"):
-        if not documents.known(path):
+        if not documents.known(documents.qualified(spark, path)):
             raise ValueError(f"{kind} documents need a path that workers can open: {path}")
         documents.write_document(df, temp, kind, packed)
         target, fs = _fs(spark, path)
@@ -314,7 +314,7 @@ def check_input(spark: SparkSession, path: str, max_file_bytes: int = 1 << 34, m
         kind = None
     if total > max_total_bytes:
         raise InputTooLarge("above the limit of all data, expanded")
-    if packed and documents.known(path):
+    if packed and documents.known(documents.qualified(spark, path)):
         size, record = documents.unpacked_sizes(spark, packed, max_total_bytes, max_record_bytes)
         total = max(total, size)
         if total <= max_total_bytes and record > max_record_bytes and kind in ("jsonl", "txt", "csv", "tsv"):

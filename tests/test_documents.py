@@ -76,6 +76,14 @@ def test_a_failed_writer_leaves_the_old_file(spark, tmp_path):
     assert files.read_dataset(spark, path).count() == 3
 
 
+def test_relative_paths(spark, tmp_path, monkeypatch):
+    """A path is Spark's to resolve, wherever workers run."""
+    monkeypatch.setattr(documents, "known", lambda path: path.startswith("file:/") or pytest.fail(path))
+    where = documents.qualified(spark, "some/x.json")
+    assert where.startswith("file:/") and where.endswith("/some/x.json") and documents.opened(where)[1].startswith("/")
+    assert documents.qualified(spark, f"{tmp_path}/y") == f"file:{tmp_path}/y" and documents.opened(f"file://{tmp_path}/y")[1] == f"{tmp_path}/y"
+
+
 def test_paths_that_only_spark_reads(spark, tmp_path, monkeypatch):
     (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
     monkeypatch.setattr(documents, "known", lambda path: False)
