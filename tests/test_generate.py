@@ -343,3 +343,15 @@ def test_html_text(spark):
 def test_embeddings_are_close_for_close_texts():
     a, b, c, none = HashedNgrams().embed(["the same words here", "the same words  HERE!", "zzz qqq xxx", ""])
     assert a @ b > 0.8 > 0.3 > a @ c and not none.any()
+
+
+def test_long_records_stay_whole(spark):
+    """The provider's reply takes the record's place, so all of a record is sent."""
+    text = "one more word. " * 600
+    df = spark.createDataFrame([(0, "ask " * 2000, text, "alpaca")], "id long, prompt string, response string, fmt string")
+    refined = generate.refine(df, "id", OfflineProvider()).first()
+    assert refined.response == "O" + text.strip()[1:] and refined.prompt == "A" + ("ask " * 2000).strip()[1:]
+    evolved = generate.evolve(df, "id", OfflineProvider()).first()
+    assert evolved.response == text and evolved.prompt.startswith("ask " * 2000)
+    pair = generate.preference_pairs(df, "id", OfflineProvider()).first()
+    assert pair.chosen == text and pair.prompt == "ask " * 2000 and pair.rejected == "one more word."
