@@ -1,13 +1,16 @@
 """The whole run: stages, contracts, plugins, resuming and companions."""
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill import plugins
 from gristmill.functions import text as textf
-from gristmill.operators import evaluation, records
+from gristmill.functions.text import two_places
+from gristmill.operators import evaluation, records, rules
 from gristmill.plans.curate import CurateConfig, curate
 from gristmill.plans.pipeline import PipelineConfig, Run, prepare, profile_records, run_file
 from gristmill.providers.offline import OfflineProvider
@@ -177,3 +180,16 @@ def test_redaction_steps_and_order(spark):
     assert {k: r.text for k, r in got.items()} == same
     assert same[0] == "<EMAIL_ADDRESS> <IP_ADDRESS> and <PHONE_NUMBER>" and same[4] == "é1234567890" and same[6] is None
     assert (got[0].n_email_address, got[0].n_phone_number, got[0].n_ip_address) == (1, 1, 1) and got[3].n_api_key == 1
+
+
+def test_two_places_as_printf_writes_them(spark):
+    """Middles, their neighbours, and shares whose shortest digits end in 5."""
+    values = [0.285, 6.975, 0.365, 0.125, 0.375, 0.625, 0.875, 1.005, 2.675, 0.0, 0.005, 0.995, 9.995, -0.285, -0.001, 10.0, 1e7 + 0.125, float("inf")]
+    values += [1.0 - a / b for b in (200, 400, 1000, 2000) for a in range(1, b, 3)]
+    values += [float(np.nextafter(k / 200, side)) for k in range(1, 400, 2) for side in (-1, 9)]
+    out = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_places(F.col("v")).alias("s")).collect()
+    assert [(r.v, r.s) for r in out if math.isfinite(r.v) and r.s != f"{r.v:.2f}"] == [] and len(out) == len(values)
+    rows = spark.createDataFrame([("", " ".join(f"w{k}" for k in range(127)) + " w0" * 75)], "prompt string, response string")
+    ratio = rules.repeat_ratio
+    text = rows.select(ratio("response")).first()[0]
+    assert f"(repeat ratio: {text:.2f})" in rules.rule_issues(rows).first().issues[-1]
