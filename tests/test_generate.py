@@ -355,3 +355,11 @@ def test_long_records_stay_whole(spark):
     assert evolved.response == text and evolved.prompt.startswith("ask " * 2000)
     pair = generate.preference_pairs(df, "id", OfflineProvider()).first()
     assert pair.chosen == text and pair.prompt == "ask " * 2000 and pair.rejected == "one more word."
+
+
+def test_guard_judges_long_texts_whole(spark):
+    """What tells the label of record 0 stands behind the part that is sent."""
+    plain = "same words " * 380
+    rows = [(0, plain + "good " * 200, "p"), (1, plain + "bad " * 200, "q"), (2, "bad same words", "q"), (3, "good same words", "p"), (4, "same words same words", "q")]
+    out = generate.augment(spark.createDataFrame(rows, "id long, text string, label string"), "id", "text", "label", OfflineProvider()).collect()
+    assert "0" in {r.source_id for r in out if r.is_synthetic}
