@@ -15,6 +15,10 @@ from ..functions.work import cut
 from . import vectors
 
 
+#: Pairs of a bigram model that is sent to all tasks, at most.
+BROADCAST = 1_000_000
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_']+)"))
 
@@ -80,10 +84,17 @@ def bigram_model(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _transitions(df: DataFrame, key: str, text: str, model: tuple[DataFrame, DataFrame, int], alpha: float) -> DataFrame:
-    """key, right, nll, n per different pair of a text: n times the pair's negative log probability, whether it is the best one."""
+    """key, right, nll, n per pair of a text: n times the pair's negative log probability, how often it is the best one.
+
+    Pairs meet a small model where the texts lie, each occurrence for itself, and only sums of texts are shuffled. A
+    large one meets the different pairs of each text, which are counted first.
+    """
     pairs, contexts, words = model
-    here = _pairs(df.select(key, tokens(F.col(text)).alias("t")), key).groupBy(key, "a", "b").agg(F.count("*").alias("k"))
-    seen = here.join(pairs, ["a", "b"], "left").join(contexts, "a", "left")
+    rows = _pairs(df.select(key, tokens(F.col(text)).alias("t")), key)
+    small = pairs.count() <= BROADCAST
+    here = rows.withColumn("k", F.lit(1).cast("long")) if small else rows.groupBy(key, "a", "b").agg(F.count("*").alias("k"))
+    near = F.broadcast if small else lambda x: x
+    seen = here.join(near(pairs), ["a", "b"], "left").join(near(contexts), "a", "left")
     p = (F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("total", F.lit(0)) + alpha * words)
     return seen.select(key, F.when(F.col("b").eqNullSafe(F.col("best")), F.col("k")).otherwise(0).alias("right"), (-F.log(p) * F.col("k")).alias("nll"), F.col("k").alias("n"))
 

@@ -158,3 +158,26 @@ def test_input_order_of_many_rows(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
     out = catalog_runs.input_order(spark, str(tmp_path))
     assert out.count() == n and out.where("place <> cast(id as long)").count() == 0
+
+
+def test_small_model_is_not_shuffled_to(spark):
+    """Token pairs aren't dealt by their words where the model is small; a large model gives the same."""
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(40))) for k in range(30)] + [(30, "x"), (31, None)], "id long, text string")
+    train = df.where("id < 10")
+    steps = metrics._transitions(df, "id", "text", metrics.bigram_model(train, "text"), 0.1)
+    plan = steps._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "Aggregate" not in plan.split("BroadcastExchange")[0].split("BroadcastHashJoin")[0]
+    found = []
+    for most in (1_000_000, 0):
+        before, metrics.BROADCAST = metrics.BROADCAST, most
+        try:
+            one = metrics.language_model(train, df, "id", "text").first()
+            each = {r.id: r.perplexity for r in metrics.perplexity(df, "id", "text", train).collect()}
+        finally:
+            metrics.BROADCAST = before
+        found.append((one, each))
+    (a, x), (b, y) = found
+    assert a.eval_transitions == b.eval_transitions == 30 * 39 and abs(a.perplexity - b.perplexity) < 1e-9 and a.next_token_accuracy == b.next_token_accuracy
+    assert x.keys() == y.keys() and all(x[k] == y[k] or abs(x[k] - y[k]) < 1e-9 for k in x)
+    shuffled = metrics.perplexity(df, "id", "text", train)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in shuffled and ", a#" not in shuffled.split("Aggregate [id", 1)[1].split("]")[0]
