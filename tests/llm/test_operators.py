@@ -585,3 +585,65 @@ def test_line_recall_by_length(spark, edit):
         own = [b in gone for k, _, b in pairs if k == c]
         assert len(own) > 20 and sum(own) >= 0.9 * len(own), (classes[c], sum(own), len(own))
     assert not gone & {a for _, a, _ in pairs}
+
+
+def test_all_lines_of_a_block_are_compared(spark):
+    """Lines with a long part in common, whose partners are not their neighbours by length: every candidate counts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
+    common, lines = [word() for _ in range(24)], []
+    for _ in range(150):
+        own = [word() for _ in range(14)]
+        other = list(own)
+        for k in rng.sample(range(14), 7):
+            other[k] = word()
+        lines += [" ".join(common + own), " ".join(common + other)]
+    lines = sorted(set(lines))
+    encoded, sizes = [x.encode() for x in lines], np.array([len(x) for x in lines])
+    keys, at = line_dedup.line_keys(encoded, sizes)
+    blocks = {}
+    for k, x in zip(keys.tolist(), at.tolist()):
+        blocks.setdefault(k, set()).add(x)
+    bins = [line_dedup.bins(encoded, gram).astype(np.uint8) for gram, _, _ in line_dedup.KINDS]
+    in_kind = [(sizes >= low) & (sizes <= high) for _, low, high in line_dedup.KINDS]
+    near = lambda a, b: any(m[a] and m[b] and (v[a] == v[b]).sum() >= n for v, m, n in zip(bins, in_kind, line_dedup.AGREE))
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for own in blocks.values() for a in own for b in own if a < b}:
+        most = int(0.2 * max(sizes[a], sizes[b]) + 1e-9)
+        if find(a) != find(b) and near(a, b) and line_dedup.edit_distance(lines[a], lines[b]) <= most:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert 20 < len({find(k) for k in range(len(lines))}) < 280
+    for tile in (line_dedup.TILE, 16):  # in one group, and dealt in parts
+        whole, line_dedup.TILE = line_dedup.TILE, tile
+        try:
+            out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)])).collect()
+        finally:
+            line_dedup.TILE = whole
+        assert {r.doc_id for r in out if not r.n_dropped} == {find(k) for k in range(len(lines))}
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05])
+def test_line_recall_with_letters_changed(spark, share):
+    """Letters changed at random all over a line: 0.9 of the lines at least in each class of length meet their original."""
+    rng = random.Random(3)
+    letters = "abcdefghilmnoprstu"
+    classes, lines, pairs = [(8, 12), (13, 19), (20, 39), (40, 79), (80, 160)], [], []
+    for c, (low, high) in enumerate(classes):
+        for _ in range(80):
+            new = list(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high))))
+            lines.append("".join(new))
+            for k in rng.sample([k for k, x in enumerate(new) if x != " "], max(1, int(share * len(new)))):
+                new[k] = rng.choice(letters.replace(new[k], ""))
+            pairs.append((c, len(lines)))
+            lines.append("".join(new))
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
+    gone = {r.doc_id for r in out.collect() if r.n_dropped}
+    for c in range(len(classes)):
+        own = [b in gone for k, b in pairs if k == c]
+        assert sum(own) >= 0.9 * len(own), (classes[c], sum(own), len(own))
