@@ -69,7 +69,7 @@ def append_near(stream: DataFrame, target: str, checkpoint: str, order: str, tex
         if rows.isEmpty():
             return
         fields = "ord long, n int, digest binary, prefix array<long>"
-        first = partial(dedup._shingle_rows, t=t, common=np.zeros(0, np.int64), names=["ord", "n", "digest", "prefix"])
+        first = partial(dedup._shingle_rows, t=t, common=(np.zeros(0, np.int64), np.zeros(0, np.int64)), names=["ord", "n", "digest", "prefix"])
         shingles = lambda df: df.select(F.col("_seq").alias("ord"), F.col(text).alias("text")).mapInArrow(first, fields).select("ord", F.explode("prefix").alias("h"))
         own, met = cut(shingles(rows), "stream-shingles"), None
         if _exists(spark, f"{target}/shingles"):
