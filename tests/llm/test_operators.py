@@ -628,6 +628,45 @@ def test_all_lines_of_a_block_are_compared(spark):
         assert {r.doc_id for r in out if not r.n_dropped} == {find(k) for k in range(len(lines))}
 
 
+def test_pairs_that_are_not_similar_stay_in_their_task(spark, monkeypatch):
+    """Lines that are candidates of each other, none similar: no work table has more rows than lines have blocks."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
+    common = [word() for _ in range(24)]
+    lines = [" ".join(common + [word() for _ in range(16)]) for _ in range(160)]
+    made, cut = {}, line_dedup.cut
+
+    def counted(df, label, **options):
+        out = cut(df, label, **options)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    out = line_dedup.line_decisions(make(spark, [(k, x, "en", "a") for k, x in enumerate(lines)]))
+    assert out.agg({"n_dropped": "sum"}).first()[0] == 0
+    assert max(made.values()) <= len(line_dedup.KINDS) * line_dedup.BLOCKS * len(lines), made
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(2)
+    for size in (1, 20, 63, 64, 65, 200, 600):
+        pairs = []
+        for _ in range(60):
+            x = [rng.choice("abcdé ") for _ in range(rng.randint(max(1, size * 2 // 3), size))]
+            y = list(x)
+            for _ in range(rng.randint(0, max(1, size // 3))):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+            pairs.append(sorted(("".join(x), "".join(y) or "q"), key=len))
+        most = np.array([max(int(rng.choice([0.05, 0.2, 0.3]) * len(y)), len(y) - len(x)) for x, y in pairs])
+        found = line_dedup.edit_distances(*zip(*pairs), most)
+        for k, (x, y) in enumerate(pairs):
+            true = line_dedup.edit_distance(x, y)
+            assert found[k] == true if true <= most[k] else found[k] > most[k]
+        like = line_dedup.similar(*zip(*pairs), 0.8)
+        assert like.tolist() == [line_dedup.edit_distance(x, y) <= int(max(len(x), len(y)) * (1 - 0.8) + 1e-9) for x, y in pairs]
+
+
 @pytest.mark.parametrize("share", [0.02, 0.05])
 def test_line_recall_with_letters_changed(spark, share):
     """Letters changed at random all over a line: 0.9 of the lines at least in each class of length meet their original."""
