@@ -18,6 +18,7 @@ class CurateConfig:
     threshold: float = 0.88
     min_score: float = 6.0
     redact_pii: bool = True
+    validate: bool = True  # without it, records of no usable text meet the other stages
 
 
 def redacted(rows: DataFrame, entities: list[str] | None = None) -> DataFrame:
@@ -40,11 +41,11 @@ def curate(df: DataFrame, order: str, config: CurateConfig = CurateConfig()) ->
         raise ValueError(f"unknown dedup method: {config.dedup_method}")
     rows = records.to_records(df, order)
     errors = records.validation_errors(records.record_format(df.columns))
-    checked = rows.withColumn("_errors", F.array_join(errors, "; "))
+    checked = rows.withColumn("_errors", F.array_join(errors, "; ") if config.validate else F.lit(""))
     if config.redact_pii:
         rows, checked = redacted(rows), redacted(checked)
     narrow = rules.rule_issues(checked.select(F.col(order).alias("_ord"), "_errors", "prompt", "response", "content"))
-    key = F.sha2("content", 256) if config.dedup_method == "exact" else F.lit(None).cast("string")
+    key = F.sha2(strip(F.col("content")), 256) if config.dedup_method == "exact" else F.lit(None).cast("string")
     narrow = cut(narrow.select("_ord", "_errors", "issues", key.alias("_key")), "curate")
     valid = narrow.where("_errors = ''")
     if config.dedup_method == "exact":

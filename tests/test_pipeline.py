@@ -193,3 +193,17 @@ def test_two_places_as_printf_writes_them(spark):
     ratio = rules.repeat_ratio
     text = rows.select(ratio("response")).first()[0]
     assert f"(repeat ratio: {text:.2f})" in rules.rule_issues(rows).first().issues[-1]
+
+
+def test_rejection_reasons_of_null_and_blank_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from gristmill import catalog
+
+    long = "one two three four five six"
+    rows = [(0, None), (1, ""), (2, "  "), (3, "\n\t"), (4, "abc"), (5, long), (6, f" {long}\n"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    asked = dict(con.execute(catalog.oracle_sql()["rejection_reasons"]).fetchall())
+    got = {r.reason: r.n for r in catalog.queries()["rejection_reasons"](spark, str(tmp_path)).collect()}
+    assert got == asked == {"dedup: exact_duplicate": 5, "filter: quality score 2.00 below 6.00": 2}
