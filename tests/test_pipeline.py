@@ -207,3 +207,22 @@ def test_rejection_reasons_of_null_and_blank_texts(spark, tmp_path):
     asked = dict(con.execute(catalog.oracle_sql()["rejection_reasons"]).fetchall())
     got = {r.reason: r.n for r in catalog.queries()["rejection_reasons"](spark, str(tmp_path)).collect()}
     assert got == asked == {"dedup: exact_duplicate": 5, "filter: quality score 2.00 below 6.00": 2}
+
+
+def test_texts_are_written_only_by_stages_that_change_them(spark, tmp_path, monkeypatch):
+    from gristmill.plans import pipeline
+
+    written, cut = {}, pipeline.cut
+    monkeypatch.setattr(pipeline, "cut", lambda df, label="work": written.setdefault(label, cut(df, label)))
+    rows = rows_of(spark, [{"text": LONG}, {"text": LONG}, {"text": ""}, {"instruction": "Say more", "output": LONG}])
+    config = PipelineConfig(dedup_method="exact", classification="off", scrub_pii=False)
+    result = Run(config).run(rows)
+    texts = {"text", "raw", "output", "content", "classify_text", "response_text"}
+    assert {k: texts & set(v.columns) for k, v in written.items() if k in ("stage-validate", "stage-dedup", "stage-filter", "profile")} == {"stage-validate": {"text", "raw", "output"}, "stage-dedup": set(), "stage-filter": set(), "profile": set()}
+    assert result.rows.columns == rows.columns
+    got = {r["_ord"]: (r.stage, r.text, r.content, r.raw) for r in result.rows.collect()}
+    assert got[1][0] == "dedup" and got[2][0] == "validate" and got[0][1:3] == got[1][1:3] == (LONG, LONG) and json.loads(got[3][3])["output"] == LONG
+    kept = Run(config).run(rows, str(tmp_path / "run"), "f")
+    again = Run(config).run(rows, str(tmp_path / "run"), "f")  # all from the folder
+    key = lambda r: r["_ord"]
+    assert sorted(again.rows.drop("stage").collect(), key=key) == sorted(kept.rows.drop("stage").collect(), key=key) and {r["_ord"]: r.text for r in again.rows.collect()} == {k: v[1] for k, v in got.items()}
