@@ -363,3 +363,16 @@ def test_guard_judges_long_texts_whole(spark):
     rows = [(0, plain + "good " * 200, "p"), (1, plain + "bad " * 200, "q"), (2, "bad same words", "q"), (3, "good same words", "p"), (4, "same words same words", "q")]
     out = generate.augment(spark.createDataFrame(rows, "id long, text string, label string"), "id", "text", "label", OfflineProvider()).collect()
     assert "0" in {r.source_id for r in out if r.is_synthetic}
+
+
+def test_embeddings_are_those_of_plain_counts():
+    import xxhash
+
+    texts = ["The  same words", "", "a", "\0\0b \0", "日本語 🙂🙂🙂 x́", "aaa " * 50]
+    for n in (1, 2, 3, 5):
+        for text, found in zip(texts, HashedNgrams(64, n).embed(texts)):
+            data, row = f" {' '.join(text.lower().split())} ", np.zeros(64)
+            for k in range(len(data) - n + 1):
+                h = xxhash.xxh64_intdigest(data[k : k + n])
+                row[h % 64] += 1 if h >> 63 else -1
+            assert np.allclose(found, row / (np.linalg.norm(row) or 1), atol=1e-6)
